@@ -225,3 +225,71 @@ def valid_text(c: Column) -> Column:
     """Trimmed, in lower case; null where nothing is left."""
     v = F.lower(F.regexp_replace(c, r"^[\s 　]+|[\s 　]+$", ""))
     return F.when(v != "", v)
+
+
+def last_value(df: DataFrame, keys: list[str], order: list[str], value: str, into: str, partitions: int | None = None) -> DataFrame:
+    """Adds `into`: the last non-null `value` at or before the row, of the same keys, by `order`.
+
+    Null where there is none. Null keys form a key of their own. An empty table gives an empty table.
+    """
+    names, vt = df.columns, df.schema[value].dataType
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + [T.StructField(into, vt, True), T.StructField("__part", T.IntegerType()), T.StructField("__kind", T.IntegerType())])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last, fill, opening = _partition(), None, None, True
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            before = pdf.shift(1)
+            if last is not None:
+                before = before.astype(object)
+                before.iloc[0] = last.iloc[0].to_numpy(dtype=object)
+            same = np.ones(len(pdf), dtype=bool)
+            for k in keys:
+                same &= _same(pdf[k], before[k])
+            if last is None:
+                same[0] = True
+            run = np.cumsum(~same)
+            filled = pdf[value].astype(object).groupby(run).ffill()
+            filled = filled.where(filled.notna(), None)
+            if fill is not None:  # carried over from the batch before
+                filled[(run == 0) & filled.isna().to_numpy()] = fill
+            out = pdf.copy()
+            out[into] = filled
+            # kind 1: the partition's first key, and nothing was seen for it yet
+            out["__part"], out["__kind"] = part, ((run == 0) & filled.isna().to_numpy() & opening).astype(int)
+            yield out
+            opening = opening and run[-1] == 0
+            last, fill = pdf.tail(1), filled.iloc[-1]
+            fill = None if _null(fill) else fill
+        if last is not None:
+            out = last.copy()
+            out[into] = fill
+            out["__part"], out["__kind"] = part, 3 if opening and fill is None else 2
+            yield out
+
+    done = cut(range_sorted(df, keys, order, partitions).mapInPandas(scan, schema), "filled").df
+    kinds = dict(df.dtypes)
+
+    def stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, state = [], None
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                k = tuple(None if _null(r[f"__k_{c}"]) else r[f"__k_{c}"] for c in keys)
+                if state is not None:
+                    out.append((r["__p"], *state[0], state[1]))
+                v = None if _null(r["__v"]) else r["__v"]
+                state = (k, state[1]) if r["__kind"] == 3 and state is not None and state[0] == k else (k, v)
+        if out:
+            yield pd.DataFrame(out, columns=["__p", *[f"__k_{c}" for c in keys], "__v"])
+
+    tails = done.where("__kind >= 2").select(F.col("__part").alias("__p"), "__kind", *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(into).alias("__v"))
+    into_type = dict(done.dtypes)[into]
+    # one row a partition
+    came = tails.repartition(1).sortWithinPartitions("__p").mapInPandas(stitch, "__p int, " + ", ".join(f"`__k_{k}` {kinds[k]}" for k in keys) + f", __v {into_type}")
+    open_ = done.where("__kind = 1")
+    on = F.col("__part") == F.col("__p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    fixed = open_.join(came, on, "left").select(*names, F.col("__v").alias(into))
+    return done.where("__kind = 0").select(*names, into).unionByName(fixed)
