@@ -7,11 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import conversations, groups, survivor
+from tallyloom.llm import canonical, conversations, groups, orgs, survivor
 from tallyloom.llm.sql import SQL
 from tallyloom.session import table
 
 
+def live_keywords(spark: SparkSession, d: str) -> list[str]:
+    """The live entries; a policy table is a short hand-kept list, and the matcher checks its length."""
+    live = table(spark, d, "voice_policy").where("superseded_at is null").select(F.explode("title_keywords").alias("k")).where("k is not null").distinct()
+    return [r["k"] for r in live.limit(canonical.MOST_ENTRIES + 1).collect()]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    got = canonical.map_to_entries(table(spark, d, "leads"), "id", "current_title", live_keywords(spark, d))
+    return got.select(F.col("id").alias("lead_id"), F.col("entry").alias("title_keyword"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Leads with a real title that names no live entry."""
+    leads = table(spark, d, "leads").where(survivor.real_text(F.col("current_title")))
+    got = canonical.map_to_entries(leads, "id", "current_title", live_keywords(spark, d), report_unmatched=True)
+    return got.where("entry is null").select(F.col("id").alias("lead_id"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    lead = table(spark, d, "leads").select(F.col("id").alias("lead"), "current_company")
+    pairs, clusters = orgs.link_names(lead, "lead", "current_company", table(spark, d, "companies").select("id", "name"), "id", "name")
+    typed = pairs.select(F.concat(F.lit("company:"), "id").alias("key_a"), F.concat(F.lit("lead:"), "lead").alias("key_b"))
+    # organisations have few rows each, so that pairs within a cluster stay few
+    c = clusters.select("group_id", F.concat(F.lit("company:"), "node").alias("k"))
+    same = c.select("group_id", F.col("k").alias("key_a")).join(c.select("group_id", F.col("k").alias("key_b")), "group_id").where("key_a < key_b").select("key_a", "key_b")
+    return typed.unionAll(same)
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Companies of one organisation: one row a company with its cluster and the cluster's size."""
+    lead = table(spark, d, "leads").select(F.col("id").alias("lead"), "current_company")
+    _, clusters = orgs.link_names(lead.limit(0), "lead", "current_company", table(spark, d, "companies").select("id", "name"), "id", "name")
+    n = clusters.groupBy("group_id").agg(F.count("*").alias("n_rows"))
+    return clusters.join(n, "group_id").select(F.col("node").alias("company_id"), "group_id", "n_rows")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     g = groups.connected_groups(table(spark, d, "lead_identity_conflicts"), "lead_id", "owner_lead_id")
     return g.select(F.col("node").alias("lead_id"), "group_id")
@@ -48,7 +84,7 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p3_found, p3_group_sizes, p4_found, p4_by_currency, p5_found, p5_sessions]
+    own = [p1_found, p1_unmatched, p2_found, p2_clusters, p3_found, p3_group_sizes, p4_found, p4_by_currency, p5_found, p5_sessions]
     return {f.__name__: f for f in own}
 
 
