@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import canonical, conversations, groups, orgs, survivor
+from tallyloom.llm import canonical, conversations, groups, leaks, mixing, orgs, sentences, survivor
 from tallyloom.llm.sql import SQL
 from tallyloom.session import table
 
@@ -83,8 +83,38 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.session_summary(conversations.sessions(conversations.turns(msgs)))
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Test items with the documents that carry them."""
+    return p8_leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.round(F.max("share"), 4).alias("most"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed corpus: uses of documents in training order."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_sentences_per_document(spark: SparkSession, d: str) -> DataFrame:
+    return p10_found(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_unmatched, p2_found, p2_clusters, p3_found, p3_group_sizes, p4_found, p4_by_currency, p5_found, p5_sessions]
+    own = [p1_found, p1_unmatched, p2_found, p2_clusters, p3_found, p3_group_sizes, p4_found, p4_by_currency, p5_found, p5_sessions, p8_found, p8_leaked_items, p9_mix, p9_shares, p10_found, p10_sentences_per_document]
     return {f.__name__: f for f in own}
 
 
