@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import canonical, conversations, groups, leaks, mixing, orgs, sentences, survivor
+from tallyloom.llm import canonical, conversations, groups, leaks, mixing, orgs, pii, sentences, survivor
 from tallyloom.llm.sql import SQL
 from tallyloom.session import table
 
@@ -83,6 +83,26 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.session_summary(conversations.sessions(conversations.turns(msgs)))
 
 
+def free_texts(spark: SparkSession, d: str) -> DataFrame:
+    parts = [("lead_messages", "body"), ("lead_tags", "notes"), ("posts", "post_text")]
+    out = None
+    for t, c in parts:
+        own = table(spark, d, t).where(F.col(c).isNotNull()).select(F.lit(t).alias("source_table"), F.col("id").alias("record_id"), F.col(c).alias("text"))
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    given, surnames = pii.known_names(table(spark, d, "leads"), "name")
+    return pii.find_types(free_texts(spark, d), ["source_table", "record_id"], "text", given, surnames).distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every free text with typed placeholders in the place of personal information."""
+    given, surnames = pii.known_names(table(spark, d, "leads"), "name")
+    return pii.redact(free_texts(spark, d), ["source_table", "record_id"], "text", given, surnames)
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
@@ -114,7 +134,7 @@ def p10_sentences_per_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_unmatched, p2_found, p2_clusters, p3_found, p3_group_sizes, p4_found, p4_by_currency, p5_found, p5_sessions, p8_found, p8_leaked_items, p9_mix, p9_shares, p10_found, p10_sentences_per_document]
+    own = [p1_found, p1_unmatched, p2_found, p2_clusters, p3_found, p3_group_sizes, p4_found, p4_by_currency, p5_found, p5_sessions, p6_found, p6_redacted, p8_found, p8_leaked_items, p9_mix, p9_shares, p10_found, p10_sentences_per_document]
     return {f.__name__: f for f in own}
 
 
