@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.operators import history
+from tallyloom.plans import star
+from tallyloom.plans.roles import Roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _over_roles(f: Callable[[Roles], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(Roles(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"p7_found": history.p7_found}
+    return {"p7_found": history.p7_found} | {k: _over_roles(f) for k, f in star.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": history.P7_SQL}
+    return {"p7_found": history.P7_SQL} | star.SQL
