@@ -108,14 +108,15 @@ def merge_versions(sources: list[DataFrame], keys: list[str], time: str, value:
     Of several rows of one key and time the last by `tie` (default: the value, nulls first) counts.
     Repeated rows change nothing. An empty table gives no rows.
     """
-    need = [*keys, time, value, *[t for t in (tie or []) if t not in (*keys, time, value)]]
-    rows = sources[0].select(*need)
+    names, keys = keys, [f"__k{i}" for i in range(len(keys))]
+    pick = lambda s: s.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col(time).alias("__t"), F.col(value).alias("__v"), *[F.col(t).alias(f"__tie{i}") for i, t in enumerate(tie or [])])
+    rows = pick(sources[0])
     for s in sources[1:]:
-        rows = rows.unionByName(s.select(*need))
-    rows = rows.where(F.col(time).isNotNull())
-    for k in keys:
-        rows = rows.where(F.col(k).isNotNull())
-    rows = rows.withColumn("__t", F.unix_micros(F.col(time).cast("timestamp")) if dict(rows.dtypes)[time] != "bigint" else F.col(time)).select(*keys, "__t", F.col(value).alias("__v"), *[F.col(t).alias(f"__tie{i}") for i, t in enumerate(tie or [])])
+        rows = rows.unionByName(pick(s))
+    for c in [*keys, "__t"]:
+        rows = rows.where(F.col(c).isNotNull())
+    if dict(rows.dtypes)["__t"] != "bigint":
+        rows = rows.withColumn("__t", F.unix_micros(F.col("__t").cast("timestamp")))
     ties = [f"__tie{i}" for i in range(len(tie or []))] or ["__v"]
     vt = dict(rows.dtypes)["__v"]
     kinds = {k: dict(rows.dtypes)[k] for k in keys}
@@ -181,7 +182,7 @@ def merge_versions(sources: list[DataFrame], keys: list[str], time: str, value:
     border_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", value {vt}, prev_value {vt}, valid_from bigint, valid_to bigint"
     # at most two rows a partition; its first run comes before its last one
     border = done.where("head or tail").repartition(1).sortWithinPartitions("part", F.col("head").desc()).mapInPandas(stitch, border_schema)
-    return inner.unionByName(border)
+    return inner.unionByName(border).select(*[F.col(k).alias(n) for n, k in zip(names, keys)], "value", "prev_value", "valid_from", "valid_to")
 
 
 def _null(x: object) -> bool:
