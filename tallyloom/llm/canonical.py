@@ -17,6 +17,7 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Ways to write a word of a job title.
 WORD_FORMS = {
@@ -182,11 +183,12 @@ class Matcher:
             return []
         s = f" {text} "
         found = sorted(((n, end - n, i) for end, (i, n) in self.auto.iter(s)), key=lambda m: (-m[0], m[1], m[2]))
-        kept: list[tuple[int, int, int]] = []
+        kept, marked = [], bytearray(len(s))
         for n, at, i in found:
-            if all(at + n <= a or a + k <= at for k, a, _ in kept):
-                kept.append((n, at, i))
-        return [(n, i) for n, _, i in kept]
+            if not any(marked[at:at + n]):
+                marked[at:at + n] = b"\x01" * n
+                kept.append((n, i))
+        return kept
 
     def similar(self, words: list[str]) -> int | None:
         """The entry all of whose tokens are among the words, with known forms and single slips; the one that leaves the fewest words over."""
@@ -241,7 +243,7 @@ def map_to_entries(rows: DataFrame, key: str, value: str, entries: list[str], mo
         m = Matcher(entries)
         known = lru_cache(maxsize=500_000)(m.match)
         for pdf in batches:
-            out = pd.DataFrame({key: pdf[key], "entry": [known(v) if isinstance(v, str) else None for v in pdf[value]]})
+            out = pd.DataFrame({"__k": pdf["__k"], "entry": [known(v) if isinstance(v, str) else None for v in pdf["__v"]]})
             yield out if report_unmatched else out[out["entry"].notna()]
 
-    return rows.select(key, value).mapInPandas(run, f"`{key}` {kt}, entry string")
+    return rows.select(F.col(key).alias("__k"), F.col(value).alias("__v")).mapInPandas(run, f"__k {kt}, entry string").toDF(key, "entry")

@@ -177,9 +177,15 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     `most_items` items go to every task with their seeds, and documents are read where they are; of
     more items, only those sharing enough seeds with a document meet it, through a join on seeds.
     Null and blank texts and items carry nothing; repeated rows give repeated rows; texts of any
-    length are read whole; an item shorter than a seed is never found.
+    length are read whole; an item shorter than a seed is never found. Where both
+    ids have one name, the item's is given as `item_<name>`. Documents with a null id are left out.
     """
+    if item_id == doc_id:
+        items, item_id = items.withColumnRenamed(item_id, f"item_{item_id}"), f"item_{item_id}"
+    if item_text == doc_id or item_text == text:
+        items, item_text = items.withColumnRenamed(item_text, "__item_text"), "__item_text"
     kt, it = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
+    docs = docs.where(f"`{doc_id}` is not null")
     ok = items.where(f"`{item_id}` is not null and `{item_text}` is not null").select(item_id, item_text).distinct()
     few = [(r[0], r[1]) for r in ok.limit(most_items + 1).collect()]
     schema = f"`{doc_id}` {kt}, `{item_id}` {it}, share double"

@@ -43,6 +43,7 @@ _END = regex.compile(rf"[\p{{STerm}}…⋯.．]+(?:[\s  ]?{_CLOSERS})*")
 _MARK = regex.compile(r"[\p{Ps}\p{Pe}\p{Pi}\p{Pf}\"]")
 _THAI_GAP = regex.compile(r"(?<=\p{Thai})\s+|\s+(?=\p{Thai})")
 _OPENS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "„": "“", "‟": "”", "«": "»", "‹": "›", "»": "«", "‚": "‘"}
+_NEXT, _LETTER = regex.compile(r"\S"), regex.compile(r"[^\p{P}\s]")
 _FLAT = set("。！？．｡﹒﹗﹖")
 _TOKEN = regex.compile(r"[^\s(\[“„«»\"‘]*$")
 _ELIDED = regex.compile(r"(?:[ldnsmtcj]|qu)['’](.+)", regex.I)
@@ -101,6 +102,7 @@ def _unit(t: str, base: int) -> Iterator[tuple[int, int]]:
     """Sentences of one unit, as (first, last) character, counted from `base`."""
     pairs = _pairs(t)
     opens = [a for a, _ in pairs]
+    opening = set(opens)
 
     def around(i: int) -> tuple[int, int] | None:
         k = bisect.bisect_right(opens, i) - 1
@@ -124,20 +126,23 @@ def _unit(t: str, base: int) -> Iterator[tuple[int, int]]:
                 continue
             closed = box
             e = box[1] + 1
-            while e < m.end() and around(e) is None and not t[e].isspace() and e not in opens:
+            while e < m.end() and around(e) is None and not t[e].isspace() and e not in opening:
                 e += 1
         else:
             e = i + len(run)
-            while e < m.end() and e not in opens and not t[e].isspace():
+            while e < m.end() and e not in opening and not t[e].isspace():
                 e += 1
-        rest = t[e:]
-        body = rest.lstrip()
-        if not body:
+        word = _NEXT.search(t, e)
+        if not word:
             cuts.append(len(t))
             start = len(t)
             break
-        gap, nxt, after = len(rest) != len(body), body[0], len(t) - len(body)
-        seen = nxt if nxt not in _OPENS and nxt not in "\"¿¡" else (regex.sub(r"^[\p{P}\s]+", "", body)[:1] or nxt)
+        after = word.start()
+        gap, nxt = after > e, t[after]
+        seen = nxt
+        if nxt in _OPENS or nxt in "\"¿¡":
+            inner = _LETTER.search(t, after)
+            seen = t[inner.start()] if inner else nxt
         flat = run[-1] in _FLAT
         if closed and not t[start:closed[0]].strip() and regex.match(r"\p{Lo}", nxt):
             continue  # the quotation opens the sentence, who said it follows
