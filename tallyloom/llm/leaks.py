@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SEED = 4
 # scripts without blanks between words: each character is a token
@@ -215,8 +216,8 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     a = docs.select(doc_id, text).mapInPandas(seeds(doc_id, text), f"key {kt}, seed string, need int").selectExpr("key as d", "xxhash64(seed) as s")
     b = ok.mapInPandas(seeds(item_id, item_text), f"key {it}, seed string, need int").selectExpr("key as i", "xxhash64(seed) as s", "need")
     # a hot seed is one row of the test side and is joined in parts by AQE; counts are combined before their shuffle
-    meet = a.join(b, "s").groupBy("d", "i").agg({"need": "max", "s": "count"}).toDF("d", "i", "need", "n").where("n >= need")
-    packed = meet.join(ok.toDF("i", "item"), "i").selectExpr("d", "struct(i, item) as e").groupBy("d").agg({"e": "collect_list"}).toDF("d", "es")
+    meet = a.join(b, "s").groupBy("d", "i").agg(F.max("need").alias("need"), F.count("*").alias("n")).where("n >= need")
+    packed = meet.join(ok.toDF("i", "item"), "i").selectExpr("d", "struct(i, item) as e").groupBy("d").agg(F.collect_list("e").alias("es"))
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

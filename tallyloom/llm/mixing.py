@@ -55,6 +55,8 @@ def ramps(targets: list[dict], steepness: float = 0.5) -> dict[str, list[tuple[f
 
     Every mean over time is the source's target, and the weights sum to one at any time.
     """
+    if not targets:
+        return {}
     w = np.array([t["target_weight"] for t in targets], dtype=float)
     r = np.array([t["max_repeats"] for t in targets], dtype=float)
     lean = r - (w * r).sum() / w.sum()
