@@ -36,22 +36,23 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         sym = live.df.select("u", "v").unionAll(live.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         told = sym.join(least, "u").select(F.col("v").alias("x"), "m").unionAll(least.select(F.col("u").alias("x"), "m")).distinct()
-        heard = cut(told, "heard")
-        low = cut(heard.df.groupBy("x").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("x")).alias("stays")), "low")
-        forest.append(cut(low.df.where("not stays").select(F.col("x").alias("node"), F.col("low").alias("parent")), "forest"))
-        after = cut(heard.df.join(low.df.select("x", "low"), "x").where("m != low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct(), "pairs")
-        for t in (live, heard, low):
-            t.drop()
+        low = told.groupBy("x").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("x")).alias("stays"))
+        heard = cut(told.join(low, "x"), "heard")
+        # one row a vertex has its minimum: those of vertices that drop out are this round's forest
+        forest.append(heard)
+        after = cut(heard.df.where("m != low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct(), "pairs")
+        live.drop()
         live = after
     if not forest:
         return none
     done: CutTable | None = None
     for level in reversed(forest):
+        tree = level.df.where("m = low and not stays").select(F.col("x").alias("node"), F.col("low").alias("parent"))
         if done is None:
-            step = level.df.select("node", F.col("parent").alias("group_id"))
+            step = tree.select("node", F.col("parent").alias("group_id"))
         else:
             up = done.df.select(F.col("node").alias("parent"), "group_id")
-            step = level.df.join(up, "parent", "left").select("node", F.coalesce("group_id", "parent").alias("group_id")).unionAll(done.df)
+            step = tree.join(up, "parent", "left").select("node", F.coalesce("group_id", "parent").alias("group_id")).unionAll(done.df)
         now = cut(step, "labels")
         if done is not None:
             done.drop()
