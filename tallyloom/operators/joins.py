@@ -69,7 +69,8 @@ def pairs_within(df: DataFrame, bucket: list[str], key: str, most: int) -> DataF
     """bucket, a, b (a < b): pairs of keys sharing a bucket of 2 to `most` keys.
 
     The size of a bucket says whether sharing it means anything, so larger ones are left out, which
-    bounds the pairs. Null buckets and keys make no pair; repeated rows count once.
+    bounds the pairs. Null buckets and keys make no pair; repeated rows count once. A
+    bucket column must not be named a or b.
     """
     d = df.select(*bucket, key).dropna().distinct()
     small = d.groupBy(*bucket).agg(F.count("*").alias("__n")).where(F.col("__n").between(2, most)).drop("__n")

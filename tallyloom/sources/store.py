@@ -84,4 +84,4 @@ def as_json_rows(tables: dict[str, DataFrame]) -> DataFrame:
 
 def status_matrix(applied: DataFrame, item: str, where: str, instances: list[str]) -> DataFrame:
     """One row an item, one column an instance: whether it was applied there."""
-    return applied.groupBy(item).pivot(where, instances).agg(F.count("*")).select(item, *[(F.coalesce(F.col(i), F.lit(0)) > 0).alias(i) for i in instances])
+    return applied.groupBy(item).pivot(where, instances).agg(F.count(F.lit(1))).select(item, *[(F.coalesce(F.col(i), F.lit(0)) > 0).alias(i) for i in instances])

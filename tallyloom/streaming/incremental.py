@@ -32,10 +32,11 @@ def without_repeats(stream: DataFrame, keys: list[str], time: str, late: str) ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(stream: DataFrame, time: str, late: str, width: str, keys: list[str], slide: str | None = None) -> DataFrame:
-    """Counts by window and keys; a window is given out when the watermark has passed it."""
+def windowed_counts(stream: DataFrame, time: str, late: str | None, width: str, keys: list[str], slide: str | None = None) -> DataFrame:
+    """Counts by window and keys; a window is given out when the watermark has passed it. Without `late` the stream has a watermark already."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n")
+    marked = stream.withWatermark(time, late) if late else stream
+    return marked.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n")
 
 
 def stale(records: DataFrame, fetched_at: str, days: Column, as_of: str) -> DataFrame:
