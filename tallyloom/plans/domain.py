@@ -9,7 +9,7 @@ from tallyloom.functions import names as N
 from tallyloom.functions import text as X
 from tallyloom.functions import urls as U
 from tallyloom.operators import checks, identity, joins, latest
-from tallyloom.plans import views
+from tallyloom.plans import pipelines, views
 from tallyloom.plans.roles import Roles
 
 AS_OF = "2026-01-01 00:00:00"
@@ -189,9 +189,38 @@ def message_gaps(r: Roles) -> DataFrame:
     return g.select(F.when(s > 0, F.floor(F.log2(s))).cast("bigint").alias("power")).groupBy("power").agg(F.count("*").alias("n"))
 
 
+def company_stems(r: Roles) -> DataFrame:
+    return pipelines.stems(r.raw("companies").select("id", "name"))
+
+
+def posting_stats(r: Roles) -> DataFrame:
+    return pipelines.posting_stats(r.raw("posts"), "poster_lead_id", "likes", "posted_at", AS_OF)
+
+
+def company_handles(r: Roles) -> DataFrame:
+    return r.raw("companies").select("id", F.array_join(pipelines.slug_candidates(F.col("name")), "|").alias("handles"))
+
+
+def filled_leads(r: Roles) -> DataFrame:
+    """Merged leads' empty fields filled from the lead they were merged into, at one step."""
+    from tallyloom.operators import writes
+
+    l = r.raw("leads")
+    old = l.where("merged_into is null").select("id", "headline", "bio", "city")
+    new = latest.latest_by(l.where("merged_into is not null").select(F.col("merged_into").alias("id"), "headline", "bio", "city", "updated_at", F.col("id").alias("i")), ["id"], ["updated_at", "i"]).drop("updated_at", "i")
+    return writes.upsert(old, new.join(old.select("id"), "id", "left_semi"), ["id"], {c: writes.old_text_wins for c in ("headline", "bio", "city")})
+
+
+def messages_refetched(r: Roles) -> DataFrame:
+    """Conversations fetched again in the second half of the data replace what was held of them."""
+    m = r.raw("lead_messages").select("conversation_id", "provider_message_id", "fetched_at").distinct()
+    cut = F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")
+    return pipelines.replace_groups(m.where(F.col("fetched_at") < cut), m.where(F.col("fetched_at") >= cut), "conversation_id").groupBy("conversation_id").agg(F.count("*").alias("n"), F.max("fetched_at").alias("last_at"))
+
+
 QUERIES = {f.__name__: f for f in [
     profile_urls, clean_urls, profile_parts, company_slugs, post_keys, name_keys, company_keys, phone_keys, note_values, tag_namespaces, tags_listed, latest_tag, repeated_tags, latest_post, unresolved_posters, posts_resolved, merge_queue, conflict_kinds, conflict_checks, duplicate_reports,
-    keepers_by_name, same_name_pairs, company_roots, merged_roots, conversation_rollup, last_message, stale_leads, policy_keywords, policy_checks, enriched_cube, reaction_quantiles, search_terms, message_gaps,
+    keepers_by_name, same_name_pairs, company_roots, merged_roots, conversation_rollup, last_message, stale_leads, policy_keywords, policy_checks, enriched_cube, reaction_quantiles, search_terms, message_gaps, company_stems, posting_stats, company_handles, filled_leads, messages_refetched,
 ]}
 
 _U = r"regexp_replace(trim(coalesce({0}, '')), '[?#].*$', '')"
@@ -258,5 +287,10 @@ SQL = {
     "enriched_cube": "SELECT country, year, count(*) AS n, count(*) FILTER (enriched) AS enriched, CAST(grouping(country, year) AS BIGINT) AS level FROM (SELECT coalesce(country, '?') AS country, strftime(created_at, '%Y') AS year, last_enriched_at IS NOT NULL AS enriched FROM leads) GROUP BY CUBE (country, year)",
     "reaction_quantiles": "SELECT poster_lead_id, count(*) AS posts, round(avg(likes), 4) AS mean, round(quantile_cont(likes, 0.5), 4) AS median FROM posts WHERE poster_lead_id IS NOT NULL AND likes IS NOT NULL GROUP BY 1 HAVING count(*) >= 3",
     "search_terms": "SELECT id, current_company, current_title FROM leads WHERE (current_company ILIKE '%analytics%' OR current_company ILIKE '%payments%') AND (current_title ILIKE '%sales%' OR current_title ILIKE '%manager%' OR headline ILIKE '%revenue%')",
+    "company_stems": r"WITH c AS (SELECT id, regexp_extract_all(regexp_replace(lower(name), '\(([\p{L}\p{N}_])\)', '\1', 'g'), '([\p{L}\p{N}]+)', 1) AS w FROM companies), k AS (SELECT id, w[1] || ' ' || w[2] AS stem, array_to_string(w, ' ') AS whole FROM c WHERE len(w) >= 2 AND length(w[1]) >= 2 AND length(w[2]) >= 2) SELECT stem, id FROM k WHERE stem IN (SELECT stem FROM k GROUP BY stem HAVING count(DISTINCT whole) >= 2 AND count(DISTINCT id) >= 2)",
+    "posting_stats": f"SELECT poster_lead_id, count(*) AS posts, count(*) FILTER (posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 MONTH) AS posts_recent, round(avg(likes), 4) AS mean_reactions, quantile_cont(likes, 0.5) AS median_reactions FROM posts WHERE poster_lead_id IS NOT NULL GROUP BY 1",
+    "company_handles": r"WITH k AS (SELECT id, name, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9& ]+', ' ', 'g'), '\b(?:" + "|".join(N.COMPANY_SUFFIXES) + r")\b', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM companies), w AS (SELECT *, string_split(key, ' ') AS ws, replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS raw FROM k), a AS (SELECT id, [raw, regexp_replace(key, '[ &]+', '-', 'g'), regexp_replace(key, '[ &]+', '', 'g'), array_to_string(ws[1:2], '-'), array_to_string(ws[1:2], ''), ws[1]] AS c FROM w) SELECT id, array_to_string(list_filter(c, lambda x, i: x <> '' AND list_position(c, x) = i), '|') AS handles FROM a",
+    "filled_leads": "WITH n AS (SELECT * FROM (SELECT merged_into AS id, headline, bio, city, row_number() OVER (PARTITION BY merged_into ORDER BY updated_at DESC, id DESC) AS rn FROM leads WHERE merged_into IS NOT NULL) WHERE rn = 1) SELECT l.id, CASE WHEN n.id IS NULL THEN l.headline ELSE coalesce(nullif(l.headline, ''), n.headline) END AS headline, CASE WHEN n.id IS NULL THEN l.bio ELSE coalesce(nullif(l.bio, ''), n.bio) END AS bio, CASE WHEN n.id IS NULL THEN l.city ELSE coalesce(nullif(l.city, ''), n.city) END AS city FROM leads l LEFT JOIN n ON n.id = l.id WHERE l.merged_into IS NULL",
+    "messages_refetched": "WITH m AS (SELECT DISTINCT conversation_id, provider_message_id, fetched_at FROM lead_messages), n AS (SELECT * FROM m WHERE fetched_at >= TIMESTAMP '2025-06-01 00:00:00'), u AS (SELECT * FROM n UNION ALL SELECT * FROM m WHERE fetched_at < TIMESTAMP '2025-06-01 00:00:00' AND conversation_id NOT IN (SELECT conversation_id FROM n)) SELECT conversation_id, count(*) AS n, max(fetched_at) AS last_at FROM u GROUP BY 1",
     "message_gaps": "WITH m AS (SELECT DISTINCT conversation_id, sent_at, id FROM lead_messages WHERE year(sent_at) > 1970), g AS (SELECT epoch_us(sent_at) - epoch_us(lag(sent_at) OVER (PARTITION BY conversation_id ORDER BY sent_at, id)) AS us FROM m) SELECT CASE WHEN us > 0 THEN CAST(floor(log2(us / 3.6e9)) AS BIGINT) END AS power, count(*) AS n FROM g WHERE us IS NOT NULL GROUP BY 1",
 }
