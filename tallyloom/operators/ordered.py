@@ -83,15 +83,25 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], carry: list[
             yield out
 
     done = cut(range_sorted(df, keys, order, partitions).mapInPandas(scan, schema), "scan").df
-    heads = done.where("__kind = 1").alias("h")
-    # a border row's predecessor is the last row of the nearest earlier partition that has rows
-    tails = done.where("__kind = 2").select(F.col("__part").alias("__tp"), *[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(c).alias(f"__c_{c}") for c in dict.fromkeys(carry)])
-    near = heads.select(F.col("__part").alias("__hp")).join(tails.select("__tp"), F.col("__tp") < F.col("__hp")).groupBy("__hp").agg(F.max("__tp").alias("__tp"))
-    fixed = heads.join(near, F.col("__part") == F.col("__hp"), "left").join(tails, "__tp", "left")
-    same = F.col("__tp").isNotNull()
-    for k in keys:
-        same = same & F.col(f"h.{k}").eqNullSafe(F.col(f"__k_{k}"))
-    fixed = fixed.select(*[F.col(f"h.{c}") for c in names], *[F.when(same, F.col(f"__c_{c}")).alias(f"prev_{c}") for c in carry], same.alias("has_prev"))
+    own = [f.name for f in df.schema]
+
+    def stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Two rows a partition, in order: a partition's first row follows the last row of the one before."""
+        before = None
+        for pdf in batches:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            out = []
+            for r in pdf.to_dict("records"):
+                if r["__kind"] == 1:
+                    same = before is not None and all(r[k] == before[k] for k in keys)
+                    out.append({**{c: r[c] for c in own}, **{f"prev_{c}": before[c] if same else None for c in carry}, "has_prev": same})
+                else:
+                    before = r
+            if out:
+                yield pd.DataFrame(out, dtype=object)
+
+    border = done.where("__kind >= 1").repartition(1).sortWithinPartitions("__part", "__kind")
+    fixed = border.mapInPandas(stitch, T.StructType([f for f in schema if f.name not in ("__part", "__kind")]))
     rest = done.where("__kind = 0").drop("__part", "__kind")
     return rest.unionByName(fixed)
 

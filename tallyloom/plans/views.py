@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import urls as U
+from tallyloom.operators.joins import prefix_join
 from tallyloom.operators.latest import latest_by
 
 OVER = ["completed", "removed_blocked", "removed_other"]
@@ -33,7 +34,7 @@ def current_per(q: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
 
 
 def member_rows(members: DataFrame, leads: DataFrame, campaigns: DataFrame) -> DataFrame:
-    m = members.join(F.broadcast(campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign"), "channel")), "campaign_id")
+    m = members.join(campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign"), "channel"), "campaign_id")
     return m.join(leads.select(F.col("id").alias("lead_id"), "name", "country", "persona", "linkedin_url"), "lead_id")
 
 
@@ -80,7 +81,7 @@ def pipeline_state(leads: DataFrame, sources: DataFrame, q: DataFrame, tags: Dat
     """One row a lead with what every child table knows, each summed up once; null where a table knows nothing."""
     s = sources.groupBy("lead_id").agg(sorted_set("source_type").alias("source_types"), sorted_set("source_label").alias("source_labels"), F.min("recorded_at").alias("first_seen_at"))
     t = tags.groupBy("lead_id").agg(sorted_set("tag").alias("tags"))
-    c = members.where(~F.col("status").isin(OVER)).join(F.broadcast(campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign"))), "campaign_id")
+    c = members.where(~F.col("status").isin(OVER)).join(campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign")), "campaign_id")
     a = c.groupBy("lead_id").agg(sorted_set("campaign").alias("active_campaigns"))
     now = current_qualification(q).select("lead_id", "qualifier_name", "qualifier_version", "qualified", F.col("persona").alias("verdict_persona"), "qualified_at")
     out = leads.select(F.col("id").alias("lead_id"), "name", "linkedin_url", "country")
@@ -163,11 +164,14 @@ def active(df: DataFrame, ended_at: str = "removed_at") -> DataFrame:
 def monitoring_conflicts(companies: DataFrame, sources: DataFrame, label: str, wanted: Column) -> DataFrame:
     """Companies with the number of people held whose source label begins with the company's name, and what speaks against it.
 
-    The name works as a LIKE pattern. Companies are a short list and go to every task, behind a
-    check of their number; labels are made distinct first.
+    The name works as a LIKE pattern. Names without a wildcard, the rule, meet the labels through a
+    prefix join; only the others are matched as patterns, against distinct labels.
     """
     labels = sources.groupBy(label).agg(F.countDistinct("lead_id").alias("held"))
-    hits = labels.join(companies.select("id", "name"), F.expr(f"{label} LIKE name || '%'")).groupBy("id").agg(F.sum("held").alias("reps_held"))
+    wild = F.col("name").rlike(r"[%_\\]")
+    plain = prefix_join(labels, label, companies.where(~wild).select("id", "name"), "name").select("id", "held")
+    odd = labels.join(companies.where(wild).select("id", "name"), F.expr(f"{label} LIKE name || '%'")).select("id", "held")
+    hits = plain.unionAll(odd).groupBy("id").agg(F.sum("held").alias("reps_held"))
     j = companies.withColumn("wanted", wanted).join(hits, "id", "left").withColumn("reps_held", F.coalesce("reps_held", F.lit(0)))
     return j.withColumn("conflict", F.when(F.col("wanted") & (F.col("reps_held") == 0), "wanted_but_empty").when(~F.col("wanted") & (F.col("reps_held") > 0), "held_but_unwanted"))
 
@@ -222,7 +226,7 @@ def chat_monitoring(decided: DataFrame, chats: DataFrame) -> DataFrame:
 
 
 def collective_members(memberships: DataFrame, collectives: DataFrame, identities: DataFrame) -> DataFrame:
-    m = memberships.join(F.broadcast(collectives.select(F.col("id").alias("collective_id"), F.col("name").alias("collective_name"), "kind", "parent_id")), "collective_id")
+    m = memberships.join(collectives.select(F.col("id").alias("collective_id"), F.col("name").alias("collective_name"), "kind", "parent_id"), "collective_id")
     i = identities.select(F.col("kind").alias("member_kind"), F.col("value").alias("member_value"), "lead_id")
     return m.join(i, ["member_kind", "member_value"], "left").select(F.col("id").alias("membership_id"), "collective_id", "kind", "collective_name", "parent_id", "lead_id", "member_kind", "member_value", "role", "member_state")
 
