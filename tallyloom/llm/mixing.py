@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.lineage import cut
@@ -140,5 +140,6 @@ def shares(uses: DataFrame, want: list[dict]) -> DataFrame:
     per_doc = uses.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     got = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens_used"), F.sum("n").alias("n_uses"), F.count("*").alias("n_documents"), F.max("n").alias("most_uses"))
     facts = spark.createDataFrame([(t["source"], float(t["share"]), int(t["tokens"])) for t in want], "source string, target double, tokens_there bigint")
-    total = got.agg(F.sum("tokens_used").alias("all_used"))
-    return facts.join(got, "source", "left").join(F.broadcast(total)).select("source", "target", (F.coalesce("tokens_used", F.lit(0)) / F.col("all_used")).alias("share"), "tokens_there", "tokens_used", "n_uses", "n_documents", "most_uses")
+    # one row a source, so that a window over all of them is small
+    got = got.withColumn("all_used", F.sum("tokens_used").over(Window.partitionBy(F.lit(1))))
+    return facts.join(got, "source", "left").select("source", "target", F.coalesce(F.col("tokens_used") / F.col("all_used"), F.lit(0.0)).alias("share"), "tokens_there", "tokens_used", "n_uses", "n_documents", "most_uses")
