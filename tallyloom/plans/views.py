@@ -116,10 +116,9 @@ def upcoming(rows: DataFrame, key: str, at: str, as_of: str) -> DataFrame:
 def deal_leads(leads: DataFrame, companies: DataFrame, deals: DataFrame) -> DataFrame:
     """Leads at a company with an open or won deal, deleted ones included; a deal meets its company by id or by slug."""
     on = deals.where("is_open or is_won")
-    slim = lambda df: df.select("company", "deal_id", "is_won", "is_open", "is_deleted", "stage_name")
-    by_id = slim(on.where("company_id is not null").withColumnRenamed("company_id", "company"))
-    by_slug = slim(on.where("match_slug is not null").join(companies.select(F.col("linkedin_slug").alias("match_slug"), F.col("id").alias("company")), "match_slug"))
-    hit = by_id.union(by_slug).distinct()
+    # one pass over the deals: both ways to a company become one list, whose repeats fall away before the shuffle
+    named = on.join(companies.select(F.col("linkedin_slug").alias("match_slug"), F.col("id").alias("by_slug")), "match_slug", "left")
+    hit = named.select(F.explode(F.array_distinct(F.array_compact(F.array("company_id", "by_slug")))).alias("company"), "deal_id", "is_won", "is_open", "is_deleted", "stage_name")
     g = hit.groupBy("company").agg(
         F.bool_or("is_won").alias("is_customer"), F.bool_or("is_open").alias("has_open_deal"), F.bool_or("is_deleted").alias("has_deleted_deal"), F.max(F.when(F.col("is_open"), F.col("stage_name"))).alias("open_stage"), F.countDistinct("deal_id").alias("n_deals"), F.min("deal_id").alias("first_deal"),
     )
