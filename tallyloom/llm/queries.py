@@ -79,7 +79,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
-    msgs = conversations.messages(table(spark, d, "lead_messages")).where("body is not null").drop("body")
+    msgs = conversations.messages(table(spark, d, "lead_messages"), bodies=False).where("readable").drop("readable")
     return conversations.session_summary(conversations.sessions(conversations.turns(msgs)))
 
 
