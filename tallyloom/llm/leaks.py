@@ -18,14 +18,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.canonical import LOOKALIKE
+
 SEED = 4
 # scripts without blanks between words: each character is a token
 _DENSE = "぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿຀-໿က-႟ក-៿"
 _TOKENS = re.compile(rf"[{_DENSE}]|[^\W_{_DENSE}]+")
 
+_ACCENTS = re.compile("[\u0300-\u036f\u200b-\u200d\u00ad\ufeff]")
+_MIXED = re.compile(r"[A-Za-z]+[\u0370-\u052f][A-Za-z\u0370-\u052f]*|[\u0370-\u052f]+[A-Za-z][A-Za-z\u0370-\u052f]*")
+
 
 def tokens(text: str) -> list[str]:
-    t = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    t = text
+    if not t.isascii():
+        # accents are no difference between words; look-alike letters inside Latin words are Latin
+        t = unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFKD", t)))
+        t = _MIXED.sub(lambda m: m[0].translate(LOOKALIKE), t)
     return _TOKENS.findall(t.lower())
 
 

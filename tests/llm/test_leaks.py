@@ -50,7 +50,7 @@ Z = "苔岭天文台在初雪前租出了两架旧望远镜，承租人却把它
 ITEMS = [(1, A), (2, B), (3, Z), (4, None), (5, ""), (1, A)]
 PAD = "Some unrelated words about pricing and pilots stand here. " * 30
 DOCS = [
-    (1, PAD + A + PAD), (2, PAD + A.upper().replace(" ", "\n")), (3, "quote: " + A[:45]), (4, A.replace("forty", "fifty").replace("seven", "nine").replace("clerk", "keeper")), (5, A[140:] + " " + A[80:140] + " " + A[:80]), (6, None), (7, ""), (8, PAD + Z + PAD), (9, A + PAD + B), (10, PAD * 300 + B), (11, A[:60] + PAD + A[60:110]), (None, A),
+    (1, PAD + A + PAD), (2, PAD + A.upper().replace(" ", "\n")), (3, "quote: " + A[:45]), (4, A.replace("forty", "fifty").replace("seven", "nine").replace("clerk", "keeper")), (5, A[140:] + " " + A[80:140] + " " + A[:80]), (6, None), (7, ""), (8, PAD + Z + PAD), (9, A + PAD + B), (10, PAD * 300 + B), (11, A[:60] + PAD + A[60:110]), (None, A), (12, A.replace("o", "ó").replace("a", "а", 3)),
 ]
 
 
@@ -59,7 +59,7 @@ def test_found_with_items_everywhere_or_by_join(spark, most):
     docs = spark.createDataFrame([(*d, "clash") for d in DOCS], "doc_id long, text string, share string")
     items = spark.createDataFrame(ITEMS, "item_id long, item_text string")
     got = {(r[0], r[1]) for r in leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "item_text", most_items=most).collect()}
-    assert got == {(1, 1), (2, 1), (4, 1), (5, 1), (8, 3), (9, 1), (9, 2), (10, 2)}
+    assert got == {(12, 1), (1, 1), (2, 1), (4, 1), (5, 1), (8, 3), (9, 1), (9, 2), (10, 2)}
 
 
 def test_shared_wording_goes_to_the_item_that_covers_more(spark):
