@@ -94,18 +94,35 @@ def latest_signal_null_equal(r: Roles) -> DataFrame:
     return views.latest_signal(r["signals"], ["lead_id", "enricher_name"])
 
 
-def monitoring_conflicts(r: Roles) -> DataFrame:
+def _monitoring_conflicts(r: Roles, companies: DataFrame) -> DataFrame:
     src = r["lead_sources"].select("lead_id", F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("lead_id") % 7).cast("string"), 9, "0"), F.lit(" staff")).alias("label"))
-    c = r["companies"].where("id < 20").withColumn("name", F.upper("name"))
+    c = companies.withColumn("name", F.upper("name"))
     return views.monitoring_conflicts(c, src, "label", F.col("id") % 2 == 0).select("id", "name", "reps_held", "conflict")
 
 
-def target_posts(r: Roles) -> DataFrame:
-    targets = r["leads"].where("id < 60").select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("lead_id"), F.when(F.col("id") % 2 == 1, F.col("id")).alias("company_id"))
+def monitoring_conflicts(r: Roles) -> DataFrame:
+    return _monitoring_conflicts(r, r["companies"].where("id < 20"))
+
+
+def monitoring_conflicts_whole(r: Roles) -> DataFrame:
+    """All companies; without SQL, as are the other queries over whole target tables (`_whole`)."""
+    return _monitoring_conflicts(r, r["companies"])
+
+
+def _target_posts(r: Roles, leads: DataFrame) -> DataFrame:
+    targets = leads.select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("lead_id"), F.when(F.col("id") % 2 == 1, F.col("id")).alias("company_id"))
     posts = r["posts"].select("id", F.when(F.col("id") % 3 != 0, F.col("poster_lead_id")).alias("poster_lead_id"), F.when(F.col("id") % 3 == 0, F.col("poster_lead_id")).alias("poster_company_id"), F.timestamp_seconds(F.col("id") * 1000).cast("timestamp_ntz").alias("posted_at"))
     return views.target_posts(targets, posts)
 
 
+def target_posts(r: Roles) -> DataFrame:
+    return _target_posts(r, r["leads"].where("id < 60"))
+
+
+def target_posts_whole(r: Roles) -> DataFrame:
+    return _target_posts(r, r["leads"])
+
+
 def collective_members(r: Roles) -> DataFrame:
     ids = r["leads"].where("id % 4 <> 0").select(F.lit("customer").alias("kind"), F.col("id").cast("string").alias("value"), F.col("id").alias("lead_id"))
     return views.collective_members(r["memberships"], r["collectives"], ids)
@@ -115,12 +132,20 @@ def small_group_ties(r: Roles) -> DataFrame:
     return views.small_group_ties(collective_members(r), 60)
 
 
-def match_states(r: Roles) -> DataFrame:
-    m = r["leads"].where("id < 300").select(F.lit("a").alias("a_kind"), F.col("id").alias("a_value"), F.lit("b").alias("b_kind"), (F.col("id") % 50).alias("b_value"), F.when(F.col("id") % 9 == 0, F.lit("x")).alias("rejected_at"))
+def _match_states(r: Roles, leads: DataFrame) -> DataFrame:
+    m = leads.select(F.lit("a").alias("a_kind"), F.col("id").alias("a_value"), F.lit("b").alias("b_kind"), (F.col("id") % 50).alias("b_value"), F.when(F.col("id") % 9 == 0, F.lit("x")).alias("rejected_at"))
     i = r["leads"].select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"), F.col("id").alias("value"), (F.col("id") % 10).alias("lead_id"))
     return views.match_states(m, i)
 
 
+def match_states(r: Roles) -> DataFrame:
+    return _match_states(r, r["leads"].where("id < 300"))
+
+
+def match_states_whole(r: Roles) -> DataFrame:
+    return _match_states(r, r["leads"])
+
+
 def hierarchy_root(r: Roles) -> DataFrame:
     """Nations hang below their region's first nation, those below nation 0."""
     n = r["collectives"].select("id", F.when(F.col("id") > 4, F.col("parent_id")).when(F.col("id") > 0, F.lit(0)).alias("up"))
@@ -292,12 +317,20 @@ def rules_classifier(r: Roles) -> DataFrame:
     return rules.classify(r["leads"], spec, ["qualified", "reason"]).select("id", "qualified", "reason")
 
 
-def sql_classifier(r: Roles) -> DataFrame:
-    targets = r["leads"].where("id % 2 = 0").select(F.col("id").alias("lead_id"))
+def _sql_classifier(r: Roles, leads: DataFrame) -> DataFrame:
+    targets = leads.select(F.col("id").alias("lead_id"))
     q = "SELECT t.lead_id, count(q.id) > 5 AS qualified, count(q.id) AS n FROM target_leads t LEFT JOIN verdicts q ON q.lead_id = t.lead_id AND q.qualified GROUP BY t.lead_id"
     return rules.classify_by_sql(r.spark, targets, q, {"verdicts": r["lead_qualifications"]})
 
 
+def sql_classifier(r: Roles) -> DataFrame:
+    return _sql_classifier(r, r["leads"].where("id % 2 = 0"))
+
+
+def sql_classifier_whole(r: Roles) -> DataFrame:
+    return _sql_classifier(r, r["leads"])
+
+
 def unclassified_leads(r: Roles) -> DataFrame:
     return rules.unclassified(r["leads"].select(F.col("id").alias("lead_id"), "name"), r["lead_qualifications"], "1-URGENT", "v1")
 
@@ -351,6 +384,7 @@ QUERIES = {f.__name__: f for f in [
     deleted_deals, held_by_policy, vendor_customers, latest_signal_null_equal, monitoring_conflicts, target_posts, collective_members, small_group_ties, match_states, hierarchy_root, any_key_matches, prefix_matches, overlapping_periods, no_verdict_not_in, semi_and_anti,
     missing_engagement, tag_pivot, first_known_values, most_common_source, first_by_order, top_per_company, first_by_list_order, group_hold, having_gap, relationship_score, cache_latest_success, usage_by_day, json_key_exists, set_operations, upsert_fill, upsert_counts,
     append_if_absent, reconcile_deleted, status_history, membership_change_log, tag_removals, departures, array_union_upsert, rules_classifier, sql_classifier, unclassified_leads, constraint_violations, claims_settled, keeper_choice, frequent_engagers, distinct_two_sided,
+    monitoring_conflicts_whole, target_posts_whole, match_states_whole, sql_classifier_whole,
 ]}
 
 _MEMBER = "m AS (SELECT m.*, l.name, l.country, l.linkedin_url, c.name AS campaign, c.channel FROM r_campaign_members m JOIN r_leads l ON l.id = m.lead_id JOIN r_campaigns c ON c.id = m.campaign_id)"
