@@ -164,9 +164,8 @@ class Items:
                     hits[n].append(i)
         found = []
         for n, at in hits.items():
-            # runs of seeds cover their number plus three tokens; far too few cannot reach the share
-            if len(at) + 3 * SEED >= self.share * len(self.toks[n]) * 0.5:
-                found += [(c, a, b, n, part) for c, a, b, part in self.passages(doc, n, at) if c >= self.share]
+            # one seed is enough to look: altered words and runs under a seed's length count as carried, but give no seeds
+            found += [(c, a, b, n, part) for c, a, b, part in self.passages(doc, n, at) if c >= self.share]
         out: dict[int, float] = {}
         owned: set[int] = set()
         for c, a, b, n, part in sorted(found, key=lambda f: (-sum(k for _, _, k in f[4]), f[1], f[3])):
@@ -185,7 +184,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
     A passage is a stretch of the document whose common runs lie at most `gap` tokens apart. Up to
     `most_items` items go to every task with their seeds, and documents are read where they are; of
-    more items, only those sharing enough seeds with a document meet it, through a join on seeds.
+    more items, only those sharing a seed with a document meet it, through a join on seeds.
     Null and blank texts and items carry nothing; repeated rows give repeated rows; texts of any
     length are read whole; an item shorter than a seed is never found. Where both
     ids have one name, the item's is given as `item_<name>`. Documents with a null id are left out.
@@ -217,15 +216,15 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                 rows = []
                 for k, t in zip(pdf[key], pdf[body]):
                     w = tokens(t) if isinstance(t, str) else []
-                    rows += [(k, " ".join(s), max(1, int((share * len(w) * 0.5) - 3 * SEED))) for s in {tuple(w[i:i + SEED]) for i in range(len(w) - SEED + 1)}]
-                yield pd.DataFrame(rows, columns=["key", "seed", "need"])
+                    rows += [(k, " ".join(s)) for s in {tuple(w[i:i + SEED]) for i in range(len(w) - SEED + 1)}]
+                yield pd.DataFrame(rows, columns=["key", "seed"])
 
         return run
 
-    a = docs.select(doc_id, text).mapInPandas(seeds(doc_id, text), f"key {kt}, seed string, need int").selectExpr("key as d", "xxhash64(seed) as s")
-    b = ok.mapInPandas(seeds(item_id, item_text), f"key {it}, seed string, need int").selectExpr("key as i", "xxhash64(seed) as s", "need")
-    # a hot seed is one row of the test side and is joined in parts by AQE; counts are combined before their shuffle
-    meet = a.join(b, "s").groupBy("d", "i").agg(F.max("need").alias("need"), F.count("*").alias("n")).where("n >= need")
+    a = docs.select(doc_id, text).mapInPandas(seeds(doc_id, text), f"key {kt}, seed string").selectExpr("key as d", "xxhash64(seed) as s")
+    b = ok.mapInPandas(seeds(item_id, item_text), f"key {it}, seed string").selectExpr("key as i", "xxhash64(seed) as s")
+    # a hot seed is one row of the test side and is joined in parts by AQE; pairs are combined before their shuffle
+    meet = a.join(b, "s").select("d", "i").distinct()
     packed = meet.join(ok.toDF("i", "item"), "i").selectExpr("d", "struct(i, item) as e").groupBy("d").agg(F.collect_list("e").alias("es"))
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -74,3 +74,12 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, A)], "item_id long, item_text string")
     for d, i in ((docs.limit(0), items), (docs, items.limit(0))):
         assert leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text").count() == 0
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_a_long_item_with_every_sixth_word_changed(spark, most):
+    item = [f"w{i}" for i in range(500)]
+    doc = " ".join("changed" if i % 6 == 5 else w for i, w in enumerate(item[:210]))
+    items = spark.createDataFrame([(1, " ".join(item)), (2, B)], "item_id long, item_text string")
+    docs = spark.createDataFrame([(7, PAD + doc + PAD)], "doc_id long, text string")
+    assert [(r[0], r[1]) for r in leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "item_text", most_items=most).collect()] == [(7, 1)]
