@@ -166,16 +166,21 @@ def _retire(tags: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return j.where("not __gone").select(*tags.columns), j.where("__gone").select(*tags.columns, F.concat(F.lit("resolved by merge "), "merge_id").alias("removed_reason"))
 
 
-def merge_all(state: dict[str, DataFrame], pairs: DataFrame, by: str, at: str, order: str = "merge_order", most_rounds: int = 1000) -> dict[str, DataFrame]:
+def merge_all(state: dict[str, DataFrame], pairs: DataFrame, by: str, at: str, order: str = "merge_order", most_rounds: int | None = None) -> dict[str, DataFrame]:
     """Merge pairs round after round, one duplicate a keeper each; a pair waits while its keeper is another pair's duplicate.
 
-    Pairs that can never run, as their rows lead to each other in a circle, are refused.
+    Rounds go on until no pair is left. Pairs that can never run, as their rows lead to each other
+    in a circle, are refused; so are those left after `most_rounds`, where it is given.
     """
     left = cut(pairs.select("dup", "keeper", F.col(order).alias("o")).distinct(), "left").df
     refused = None
-    for _ in range(most_rounds):
-        if left.isEmpty():
+    rounds = 0
+    while not left.isEmpty():
+        if rounds == most_rounds:
+            rest = left.select("dup", "keeper", F.lit(f"not reached in {most_rounds} rounds").alias("refused"))
+            refused = rest if refused is None else refused.unionByName(rest)
             break
+        rounds += 1
         # a duplicate that is itself a keeper waits until what folds into it has done so
         leaf = left.join(left.select(F.col("keeper").alias("dup")).distinct(), "dup", "left_anti")
         one = leaf.withColumn("__r", F.row_number().over(Window.partitionBy("keeper").orderBy("o", "dup"))).where("__r = 1").drop("__r")

@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 import json
 
 import pytest
@@ -72,6 +73,13 @@ def test_queue_and_rounds(spark):
     assert out["lead_merges"].count() == 2
 
 
+def test_pairs_left_after_the_last_round_are_reported(spark):
+    pairs = spark.createDataFrame([("D", "K", 0), ("D2", "K", 1)], "dup string, keeper string, merge_order int")
+    out = merge.merge_all(state(spark), pairs, "tester", "2024-02-02 00:00:00", most_rounds=1)
+    assert [tuple(r) for r in out["lead_merges_refused"].select("dup", "keeper", "refused").collect()] == [("D2", "K", "not reached in 1 rounds")]
+    assert inspect.signature(merge.merge_all).parameters["most_rounds"].default is None
+
+
 def test_people_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿Linkedin url,Linkedin Public URL,First Name,last name,Position,Location,Note\nhttps://www.linkedin.com/in/ACoAAx,http://linkedin.com/in/ann/,Ann,Bee,CTO,Oslo,\"x, \"\"y\"\"\"\n,linkedin.com/in/ann,Other,,CEO,Rome,\n,,No,Url,,,\n", encoding="utf-8")
     raw = files.read_csv(spark, str(tmp_path / "a.csv"))
