@@ -35,7 +35,7 @@ _AT, _DOT = _AT.replace("{{", "{").replace("}}", "}"), _DOT.replace("{{", "{").r
 _DISGUISED = re.compile(
     rf"(?P<a>[\w.+%-]+)(?P<at>{_AT}|\s+@\s*|\s*@\s+)(?P<b>[\w-]+(?:(?:{_DOT}|\s+dot\s+|\.)[\w-]+)+)|(?P<c>[\w.+%-]+)(?P<at2>\s+at\s+)(?P<d>[\w-]+(?:(?:{_DOT}|\s+dot\s+)[\w-]+)+)", re.I)
 _DOTS = re.compile(rf"{_DOT}|\s+dot\s+|\.", re.I)
-_MAYBE_AT = re.compile(r"[(\[{<]\s*(?:[aA][tT]|ät|arroba)\b|\s@|@\s|\s(?:DOT|dot|Dot)\s|[(\[]dot[)\]]")
+_MAYBE_AT = re.compile(rf"{_AT}|{_DOT}|\s@|@\s|\sdot\s", re.I)
 _TWO = re.compile(rf"\b(?:{_dw})[\s,.-]+(?:{_dw})[\s,.-]+(?:{_dw})\b", re.I)
 _INVISIBLE = set("\u200b\u200c\u200d\u2060\ufeff\u00ad")
 
@@ -160,7 +160,7 @@ _CAP_DOT = re.compile(r"(?<![\w.])[A-Z]\.(?:\s|$)|,\s[A-Z]\.")
 AT_HINT, STREET_HINT, ID_HINT, CUE_HINT, TITLE_HINT, WORD_HINT = 1, 2, 4, 8, 16, 32
 # What must be in a text (in lower case) for the costly patterns to have a chance.
 HINTS = {
-    AT_HINT: "dot punkt (at [at {at <at arroba".split() + [" @", "@ ", "( at", "[ at"],
+    AT_HINT: ["@", "dot", "(", "[", "{", "<"],
     STREET_HINT: _en.lower().split("|") + "rue avenue impasse boulevard bd allée chemin quai cours route passage ruelle gasse straße strasse str. weg platz allee ring ufer damm steig pfad markt calle c/ avda avenida plaza paseo camino carrera ronda travesía 市 区 町 村 郡 県 都 府 box postfach apartado casilla postale b.p.".split() + ["am ", "an der ", "an den ", "im ", "in der ", "zum ", "zur ", "auf de", "hinter dem ", "unter den ", "bei den "],
     ID_HINT: "social ssn tin steuer idnr tax licen national passport pass pasaporte passeport personnummer dni nif nie".split(),
     CUE_HINT: "tel phone call mobile mobil handy cell whatsapp fax ring text rückruf".split(),
@@ -257,15 +257,17 @@ class Finder:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(first, one past last, type) in the source text, in order, none overlapping."""
-        low, hints, words = text.lower(), 0, 0
+        t, first, last = rewrite(text, False, False)
+        low, hints, words = t.lower(), 0, 0
         for _, f in self.auto.iter(low):
             hints |= f
             words += f & WORD_HINT
-        t, first, last = rewrite(text, bool(hints & AT_HINT), words >= 5 * WORD_HINT)
-        if t is not text:
-            low = t.lower()
-            for _, f in self.auto.iter(low):
-                hints |= f
+        if hints & AT_HINT or words >= 5 * WORD_HINT:
+            t, first, last = rewrite(text, bool(hints & AT_HINT), words >= 5 * WORD_HINT)
+            if t is not text:
+                low = t.lower()
+                for _, f in self.auto.iter(low):
+                    hints |= f
         found: list[tuple[int, int, str]] = []
         taken = Taken()
 

@@ -60,3 +60,14 @@ def test_over_rows(spark):
 def test_known_names(spark):
     df = spark.createDataFrame([("Greta Okembari",)] * 3 + [("Okembari, Greta",), ("Mateo Lindqvarn, PhD",), ("Mateo X. Lindqvarn",), ("MATEO LINDQVARN",), (None,), ("",), ("Solo",)], "name string")
     assert pii.known_names(df, "name") == ({"greta", "mateo"}, {"okembari", "lindqvarn"})
+
+
+@pytest.mark.parametrize("text", [
+    "ann (аt) inbox (dоt) test", "ann ＠ inbox.test", "jean.dupont (à) exemple (point) fr", "ann (ät) inbox (punkt) test", "ann { at } inbox { dot } test", "ann <arroba> inbox [punto] test", "ann\t@\tinbox.test", "ann (a\u200bt) inbox (do\u200bt) test",
+])
+def test_combined_disguises(text):
+    assert F.redact(text) == "[EMAIL]"
+
+
+def test_digit_words_with_a_sign_that_is_not_seen():
+    assert F.redact("text fi\u200bve fіve five, zero one one four when") == "text [PHONE] when"
