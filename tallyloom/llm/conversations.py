@@ -98,28 +98,45 @@ def session_summary(sess: DataFrame) -> DataFrame:
     return g.withColumn("reciprocal", F.col("session_at").isNotNull() & (F.col("n_no_role") == 0) & (F.col("by_operator") > 0) & (F.col("by_lead") > 0))
 
 
-def conversation_verdicts(turned: DataFrame) -> DataFrame:
-    """One row a conversation: n_messages, n_sessions, by_operator, by_lead, n_no_role, n_no_time, last_role, kept.
+def conversation_verdicts(summary: DataFrame) -> DataFrame:
+    """One row a conversation, from its sessions: n_messages, n_sessions, by_operator, by_lead, n_no_role, n_no_time, last_role, kept.
 
     Kept are conversations in which every message has a role and a time, both roles speak, and the
-    last word is not the lead's.
+    last session does not end with the lead's word.
     """
-    last = F.max_by("role", F.struct("at", "message_id"))
-    v = turned.groupBy("conversation_id").agg(
-        F.count("*").alias("n_messages"), F.sum(F.col("new_session").cast("long")).alias("n_sessions"), F.count_if(F.col("role") == "operator").alias("by_operator"), F.count_if(F.col("role") == "lead").alias("by_lead"),
-        F.count_if(F.col("role").isNull()).alias("n_no_role"), F.count_if(F.col("at").isNull()).alias("n_no_time"), last.alias("last_role"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+    untimed = F.col("session_at").isNull()
+    v = summary.groupBy("conversation_id").agg(
+        F.sum("n_messages").alias("n_messages"), F.count("*").alias("n_sessions"), F.sum("by_operator").alias("by_operator"), F.sum("by_lead").alias("by_lead"), F.sum("n_no_role").alias("n_no_role"),
+        F.coalesce(F.sum(F.when(untimed, F.col("n_messages"))), F.lit(0)).alias("n_no_time"), F.max_by("last_role", "session_at").alias("last_role"), F.min("session_at").alias("first_at"), F.max("last_at").alias("last_at"),
     )
     kept = (F.col("n_no_role") == 0) & (F.col("n_no_time") == 0) & (F.col("by_operator") > 0) & (F.col("by_lead") > 0) & (F.col("last_role") != "lead")
     return v.withColumn("kept", F.coalesce(kept, F.lit(False)))
 
 
 def left_out(rows: DataFrame, gap_s: float | None = None, partitions: int | None = None) -> DataFrame:
-    """conversation_id, reason: conversations that are empty, broken or unanswered."""
+    """conversation_id, reason: conversations that are empty, broken or unanswered, by the summaries of their sessions."""
     msgs = cut(messages(rows, bodies=False), "messages").df
-    v = conversation_verdicts(turns(msgs.where("readable").drop("readable"), gap_s, partitions))
+    v = conversation_verdicts(session_summary(sessions(turns(msgs.where("readable").drop("readable"), gap_s, partitions), partitions)))
     ids = msgs.select("conversation_id").distinct()
     reason = (
         F.when(F.col("kept").isNull(), "empty").when((F.col("n_no_role") > 0) | (F.col("n_no_time") > 0), "broken")
         .when((F.col("by_operator") == 0) | (F.col("by_lead") == 0), "one side").otherwise("unanswered")
     )
     return ids.join(v, "conversation_id", "left").where("kept is null or not kept").select("conversation_id", reason.alias("reason"))
+
+
+def rebuilt(rows: DataFrame, gap_s: float | None = None, partitions: int | None = None) -> DataFrame:
+    """The messages of kept conversations: conversation_id, session_at, at, message_id, role, body.
+
+    Rows come range-sorted by conversation, time and message, so that files read one after the other
+    are the conversations in order; a session begins at `session_at`. Conversations that
+    `left_out` names, and messages without readable text, have no row.
+    """
+    msgs = cut(messages(rows).where("body is not null"), "messages").df
+    sess = cut(sessions(turns(msgs.drop("body"), gap_s, partitions), partitions), "sessions").df
+    kept = conversation_verdicts(session_summary(sess)).where("kept").select("conversation_id")
+    own = ["conversation_id", "message_id"]
+    out = sess.join(kept, "conversation_id", "left_semi").select(*own, "session_at", "at", "role").join(msgs.select(*own, "body"), own)
+    order = ["conversation_id", "at", "message_id"]
+    spread = out.repartitionByRange(partitions, *order) if partitions else out.repartitionByRange(*order)
+    return spread.sortWithinPartitions(*order).select("conversation_id", "session_at", "at", "message_id", "role", "body")

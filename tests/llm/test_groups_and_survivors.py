@@ -91,3 +91,59 @@ def test_a_circle_of_precedences_falls_back_to_time(spark):
 ])
 def test_profile_urls(spark, url, ok):
     assert spark.createDataFrame([(url,)], "u string").select(survivor.real_profile_url(F.col("u"))).first()[0] is ok
+
+
+def brute_latest(rows):
+    """Survivors by looking at every path between values and every pair of a group's values."""
+    groups_, steps = {}, {}
+    for g, k, v, t in rows:
+        groups_.setdefault(g, []).append((k, v, t))
+    for rs in groups_.values():
+        at = {}
+        for k, v, t in rs:  # of one time the greatest value counts, as in the versions of a history
+            if t is not None:
+                at[t] = max(v, at.get(t, v))
+        line = [at[t] for t in sorted(at)]
+        for a, b in zip(line, line[1:]):
+            if a != b:
+                steps[a, b] = steps.get((a, b), 0) + 1
+    prec = {(a, b) for (a, b), n in steps.items() if n > steps.get((b, a), 0)}
+    reach = set(prec)
+    while more := {(a, d) for a, b in reach for c, d in prec if b == c} - reach:
+        reach |= more
+    before = {(a, b) for a, b in reach if (b, a) not in reach}
+    out = set()
+    for g, rs in groups_.items():
+        last = {}
+        for k, v, t in rs:
+            last[v] = max([x for x in (last.get(v), t) if x is not None], default=None)
+        rows_ = rs
+        if any(t is None for _, _, t in rs):
+            top = max([t for t in last.values() if t is not None], default=None)
+            left = {v for v, t in last.items() if t is None and not any((v, w) in before for w, u in last.items() if u is not None)}
+            left |= {v for v, t in last.items() if t is not None and t == top}
+            left = {v for v in left if not any((v, w) in before and (last[v] is None or last[w] is None) for w in left)}
+            rows_ = [r for r in rs if r[1] in left]
+        k, v, _ = max(rows_, key=lambda r: (r[2] is not None, r[2] or T0, r[0]))
+        out.add((g, k, v))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_survivors_match_brute_force_over_chains_and_circles(spark, seed):
+    r = random.Random(seed)
+    names = [f"V{i}" for i in range(14)]
+    rows = [(f"g{g}", f"g{g}k{k}", r.choice(names), None if r.random() < 0.4 else day(r.randrange(50) * 1000 + g * 60 + k)) for g in range(25) for k in range(r.randrange(2, 5))]
+    assert pick(spark, rows) == brute_latest(rows)
+
+
+def test_a_chain_through_values_the_group_lacks(spark):
+    learned = [("a", "a1", "Ann", day(1)), ("a", "a2", "Bob", day(2)), ("b", "b1", "Bob", day(1)), ("b", "b2", "Cid", day(2))]
+    got = pick(spark, learned + [("q", "q2", "Ann", None), ("q", "q1", "Cid", None), ("r", "r1", "Ann", day(9)), ("r", "r2", "Cid", None)])
+    assert ("q", "q1", "Cid") in got and ("r", "r2", "Cid") in got
+
+
+def test_a_groups_own_times_come_before_what_others_teach(spark):
+    learned = [(f"t{i}", f"t{i}{k}", v, day(k)) for i in range(3) for k, v in enumerate(["Bob", "Ann"])]
+    got = pick(spark, learned + [("q", "q1", "Ann", day(1)), ("q", "q2", "Bob", day(2)), ("q", "q3", "Zoe", None)])
+    assert ("q", "q2", "Bob") in got

@@ -54,11 +54,11 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("most", [100, 1])
+@pytest.mark.parametrize("most", [10_000, 1])
 def test_found_with_items_everywhere_or_by_join(spark, most):
     docs = spark.createDataFrame([(*d, "clash") for d in DOCS], "doc_id long, text string, share string")
     items = spark.createDataFrame(ITEMS, "item_id long, item_text string")
-    got = {(r[0], r[1]) for r in leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "item_text", most_items=most).collect()}
+    got = {(r[0], r[1]) for r in leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "item_text", most_bytes=most).collect()}
     assert got == {(12, 1), (1, 1), (2, 1), (4, 1), (5, 1), (8, 3), (9, 1), (9, 2), (10, 2)}
 
 
@@ -76,10 +76,71 @@ def test_empty_tables(spark):
         assert leaks.find_leaks(d, "doc_id", "text", i, "item_id", "item_text").count() == 0
 
 
-@pytest.mark.parametrize("most", [100, 1])
+@pytest.mark.parametrize("most", [10_000, 1])
 def test_a_long_item_with_every_sixth_word_changed(spark, most):
     item = [f"w{i}" for i in range(500)]
     doc = " ".join("changed" if i % 6 == 5 else w for i, w in enumerate(item[:210]))
     items = spark.createDataFrame([(1, " ".join(item)), (2, B)], "item_id long, item_text string")
     docs = spark.createDataFrame([(7, PAD + doc + PAD)], "doc_id long, text string")
-    assert [(r[0], r[1]) for r in leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "item_text", most_items=most).collect()] == [(7, 1)]
+    assert [(r[0], r[1]) for r in leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "item_text", most_bytes=most).collect()] == [(7, 1)]
+
+
+def altered(words, every):
+    return " ".join("changed" if i % every == every - 1 else w for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize(("n", "part", "every", "carried"), [(200, 0.5, 5, 0.49), (400, 0.6, 5, 0.59), (800, 0.5, 6, 0.49)])
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_altered_passages_of_long_items(spark, most, n, part, every, carried):
+    words = [f"w{i}" for i in range(n)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, B)], "item_id long, item_text string")
+    docs = spark.createDataFrame([(7, PAD + altered(words[:int(n * part)], every) + " " + PAD)], "doc_id long, text string")
+    got = leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "item_text", most_bytes=most).collect()
+    assert [(r[0], r[1]) for r in got] == [(7, 1)] and got[0]["share"] >= carried
+
+
+def test_both_sizes_give_one_result(spark):
+    r = random.Random(2)
+    vocab = ["alpha", "beta", "gamma", "delta", "of", "the", "in"]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randrange(4, 30))) for _ in range(12)]
+    rows = [(1, "a b c d e f g h " * 10), (2, texts[0] + " x y " + texts[3]), (3, texts[1]), (3, texts[2]), (3, texts[2])]
+    rows += [(10 + i, " ".join(r.choice(vocab) for _ in range(60))) for i in range(20)]
+    items = spark.createDataFrame([(0, "a b c d e f g h " * 14), *enumerate(texts, 1)], "item_id long, item_text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(tuple, leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "item_text", most_bytes=m).collect())) for m in (1_000_000, 1))
+    assert one == two and (1, 0) in {x[:2] for x in one}
+
+
+def test_passages_are_those_of_all_stretches_of_shared_pairs():
+    """Looking around seeds only, and the bound on what a stretch can carry, lose no passage."""
+    r = random.Random(8)
+    hits = 0
+    for _ in range(400):
+        item = [r.randrange(30) for _ in range(r.randrange(6, 60))]
+        doc = [r.choice([-1, r.randrange(30)]) for _ in range(r.randrange(5, 40))]
+        for _ in range(r.randrange(3)):
+            a = r.randrange(len(item))
+            doc += [t if r.random() < 0.85 else -1 for t in item[a:a + r.randrange(4, 40)]] + [-1] * r.randrange(12)
+        pairs, seeds = set(zip(item, item[1:])), {tuple(item[i:i + 4]) for i in range(len(item) - 3)}
+        at = [i for i in range(len(doc) - 3) if tuple(doc[i:i + 4]) in seeds]
+        got = sorted(c for c, _ in leaks.passages(doc, item, pairs, at, 0.4, 8))
+        stretches = []
+        for j in range(len(doc) - 1):
+            if (doc[j], doc[j + 1]) in pairs:
+                if stretches and j - stretches[-1][1] <= 8:
+                    stretches[-1][1] = j + 2
+                else:
+                    stretches.append([j, j + 2])
+        want = []
+        for lo, hi in stretches:
+            part = []
+            for x in [*sorted(leaks.tiles(item, doc[lo:hi], 2), key=lambda x: x[1]), None]:
+                if x is not None and (not part or x[1] - part[-1][1] - part[-1][2] <= 8):
+                    part.append(x)
+                    continue
+                if part and max(k for _, _, k in part) >= 4 and leaks.carried(part, len(item)) >= 0.4:
+                    want.append(leaks.carried(part, len(item)))
+                part = [x] if x is not None else []
+        assert got == sorted(want)
+        hits += bool(want)
+    assert hits > 50
