@@ -13,7 +13,6 @@ import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -30,12 +29,59 @@ DIGITS = {w: str(d) for d, ws in enumerate([
 _dw = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:{_dw})(?:[\s,.-]+(?:{_dw}))+\b", re.I)
 _WORD = re.compile(rf"\b(?:{_dw})\b", re.I)
-_AT, _DOT = r"\s*[(\[{{<]\s*(?:at|ät|arroba|à)\s*[)\]}}>]\s*", r"\s*[(\[{{<]\s*(?:dot|punkt|point|punto)\s*[)\]}}>]\s*"
-_AT, _DOT = _AT.replace("{{", "{").replace("}}", "}"), _DOT.replace("{{", "{").replace("}}", "}")
-_DISGUISED = re.compile(
-    rf"(?P<a>[\w.+%-]+)(?P<at>{_AT}|\s+@\s*|\s*@\s+)(?P<b>[\w-]+(?:(?:{_DOT}|\s+dot\s+|\.)[\w-]+)+)|(?P<c>[\w.+%-]+)(?P<at2>\s+at\s+)(?P<d>[\w-]+(?:(?:{_DOT}|\s+dot\s+)[\w-]+)+)", re.I)
+_DOT = r"\s*[(\[{<]\s*(?:dot|punkt|point|punto)\s*[)\]}>]\s*"
+_AT = re.compile(r"[(\[{<]\s*(?:at|ät|arroba|à)\s*[)\]}>]|@|(?<=\s)at(?=\s)", re.I)
+_HOST = re.compile(rf"[\w-]+(?:(?:{_DOT}|\s+dot\s+|\.)[\w-]+)+", re.I)
+_SPELLED_HOST = re.compile(rf"[\w-]+(?:(?:{_DOT}|\s+dot\s+)[\w-]+)+", re.I)
 _DOTS = re.compile(rf"{_DOT}|\s+dot\s+|\.", re.I)
-_MAYBE_AT = re.compile(rf"{_AT}|{_DOT}|\s@|@\s|\sdot\s", re.I)
+
+
+def _local(t: str, at: int, done: int) -> int:
+    """Where the run of signs of an address that ends before `at` begins."""
+    while at > done and (t[at - 1].isalnum() or t[at - 1] in "_.+%-"):
+        at -= 1
+    return at
+
+
+def _disguises(t: str) -> Iterator[tuple[int, int, re.Match]]:
+    """(start and end of what stands for the at sign, host) of addresses written apart; each is built outwards from its at sign, so that the time is linear."""
+    done, n = 0, len(t)
+    for m in _AT.finditer(t):
+        s, e = m.span()
+        b = e
+        while b < n and t[b].isspace():
+            b += 1
+        word = m[0].lower() == "at"
+        if m[0] == "@" and b == e and not (s and t[s - 1].isspace()):
+            continue
+        host = (_SPELLED_HOST if word else _HOST).match(t, b)
+        if not host:
+            continue
+        a = s
+        while a > done and t[a - 1].isspace():
+            a -= 1
+        if _local(t, a, done) < a:
+            yield a, b, host
+            done = host.end()
+
+
+_EMAIL_HOST = re.compile(r"@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+")
+
+
+def _emails(t: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    at = t.find("@")
+    while at >= 0:
+        if m := _EMAIL_HOST.match(t, at):
+            a = _local(t, at, done)
+            while a < at and not t[a].isalnum():
+                a += 1
+            if a < at:
+                yield a, m.end()
+                done = m.end()
+        at = t.find("@", max(at + 1, done))
+
+
 _TWO = re.compile(rf"\b(?:{_dw})[\s,.-]+(?:{_dw})[\s,.-]+(?:{_dw})\b", re.I)
 _INVISIBLE = set("\u200b\u200c\u200d\u2060\ufeff\u00ad")
 
@@ -69,12 +115,10 @@ def rewrite(text: str, disguised: bool = True, spelled: bool = True) -> tuple[st
         if (new := "".join(chars)) != text:
             out, first, last = new, at, [i + 1 for i in at]
     edits: list[tuple[int, int, str]] = []
-    if disguised and _MAYBE_AT.search(out):
-        for m in _DISGUISED.finditer(out):
-            k = "at" if m["at"] is not None else "at2"
-            edits.append((*m.span(k), "@"))
-            g = "b" if k == "at" else "d"
-            edits += [(m.start(g) + x.start(), m.start(g) + x.end(), ".") for x in _DOTS.finditer(m[g])]
+    if disguised:
+        for a, b, host in _disguises(out):
+            edits.append((a, b, "@"))
+            edits += [(x.start(), x.end(), ".") for x in _DOTS.finditer(out, host.start(), host.end())]
     if spelled and _TWO.search(out):
         for m in _SPELLED.finditer(out):
             ws = list(_WORD.finditer(out, m.start(), m.end()))
@@ -101,7 +145,7 @@ def rewrite(text: str, disguised: bool = True, spelled: bool = True) -> tuple[st
     return out, first, last
 
 
-_EMAIL = re.compile(r"[^\W_][\w.+%-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+|[^\W_]@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+")
+# No pattern has an open end before what it needs, so that any text takes linear time.
 _ID = re.compile(
     r"\b\d{3}-\d{2}-\d{4}\b(?!-)"  # SSN
     r"|\b(?:my |his |her )?social(?: security)?(?: (?:no|number|nr)\.?)?(?:\s+is|[:=])?\s*\d{3}[ -]?\d{2}[ -]?\d{4}\b"
@@ -109,26 +153,55 @@ _ID = re.compile(
     r"|\b(?:NI(?:NO)?(?: (?:no|number)\.?)?\W{0,3})?[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b"  # NINO
     r"|(?:Steuer-?ID(?:-?Nr)?|Steuernummer|IdNr|Tax[ -]?ID|TIN)\W{0,3}(?:\d[ /-]?){9,12}\b"
     r"|\b[A-Z]\d{3}-\d{4}-\d{4}\b"  # driver's licence
-    r"|driver'?s? licen[cs]e\W{0,3}(?:no\.? ?|number ?)?[A-Z0-9][A-Z0-9 -]{5,}\d"
+    r"|driver'?s? licen[cs]e\W{0,3}(?:no\.? ?|number ?)?[A-Z0-9][A-Z0-9 -]{5,30}\d"
     r"|(?<![\d-])\d{6}[-+]\d{4}\b(?!-)"  # personnummer
     r"|\bpersonnummer\W{0,3}\d{6,8}[-+ ]?\d{4}\b"
     r"|\b\d{3}\.\d{3}\.\d{3}-\d{2}\b"  # CPF
-    r"|\bnational id(?:entity)?(?: (?:no|number)\.?)?\W{0,3}[A-Z0-9][A-Z0-9. -]{5,}\d"
+    r"|\bnational id(?:entity)?(?: (?:no|number)\.?)?\W{0,3}[A-Z0-9][A-Z0-9. -]{5,30}\d"
+    r"|\baadhaar(?: (?:no|number)\.?)?\W{0,3}\d{4}[ -]?\d{4}[ -]?\d{4}\b"
     r"|\bpassport(?:\s+(?:no\.?|number|nr\.?|num\.?))?\W{0,3}[A-Z]{1,2}\d{6,9}\b"
     r"|(?:Reisepass|Pass-?Nr\.?|pasaporte|passeport)\W{0,3}(?:no\.?|n[.º°]*|nr\.?)?\s*[A-Z]{1,2}\d{6,9}\b"
     r"|(?<![\w-])\d{8}-?[A-HJ-NP-TV-Z]\b(?!-)|\b[XYZ]-?\d{7}-?[A-Z]\b"  # DNI, NIE
     r"|\b(?:DNI|NIF|NIE)\W{0,3}[XYZ]?\d{7,8}-?[A-Z]\b", re.I)
-_cap = r"[A-ZÀ-ÖØ-Þ][\w'’.-]*"
+_cap = r"[A-ZÀ-ÖØ-Þ][\w'’.-]{0,60}"
 _en = r"Close|Road|Lane|Street|Avenue|Ave|Terrace|Rise|Drive|Way|Court|Place|Square|Crescent|Gardens|Row|Hill|Boulevard|Blvd|Grove|Mews|Walk|Parade|Alley|Park|St|Rd|Ln|Dr"
 _STREET = re.compile(
     rf"\b\d{{1,5}}[A-Za-z]?(?:/\d+)?,?\s+(?:{_cap}\s+){{1,4}}(?:{_en}|{_en.upper()})\b\.?(?:,\s*(?:Suite|Flat|Apt|Apartment|Unit|Floor|SUITE|FLAT)\.?\s*#?\w+)?(?:,\s*(?:{_cap}\s*){{1,3}}\d{{4,5}})?"
-    rf"|\b\d{{1,5}}(?:\s*(?:bis|ter|quater))?,?\s+(?:rue|avenue|impasse|boulevard|bd|allée|chemin|place|quai|cours|route|square|passage|ruelle|RUE|AVENUE|IMPASSE)\s+(?:(?:de la|de l['’]|du|des|de|d['’]|l['’]|DES|DU|DE)\s*)?{_cap}(?:[\s-]{_cap})*(?:,\s*\d{{5}}\s+{_cap})?"
-    rf"|\b[A-ZÄÖÜ][\wäöüß-]*(?:gasse|straße|strasse|str\.|weg|platz|allee|ring|ufer|damm|steig|pfad|markt)\s+\d{{1,4}}\s?[a-z]?\b(?:,\s*\d{{5}}\s+{_cap}(?:\s+(?:am|an der|bei)\s+{_cap})?)?"
-    rf"|\b(?:{_cap}\s+)?(?:Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee|Ring)\s+\d{{1,4}}\s?[a-z]?\b(?:,\s*\d{{5}}\s+{_cap})?"
+    rf"|\b\d{{1,5}}(?:\s*(?:bis|ter|quater))?,?\s+(?:rue|avenue|impasse|boulevard|bd|allée|chemin|place|quai|cours|route|square|passage|ruelle|RUE|AVENUE|IMPASSE)\s+(?:(?:de la|de l['’]|du|des|de|d['’]|l['’]|DES|DU|DE)\s*)?{_cap}(?:[\s-]{_cap}){{0,8}}(?:,\s*\d{{5}}\s+{_cap})?"
     rf"|\b(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|Hinter dem|Unter den|Bei den)\s+(?:{_cap}\s+){{1,3}}\d{{1,4}}\s?[a-z]?\b(?:,\s*\d{{5}}\s+{_cap})?"
-    rf"|\b(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Camino|Carrera|Ronda|Travesía|CALLE|AVENIDA|PLAZA)\s*(?:(?:de los|de las|de la|del|de)\s+)?{_cap}(?:\s+{_cap})*,?\s+(?:n\.?º\s*)?\d{{1,4}}\b(?:,\s*\d{{1,2}}\s?[ºª°]\s*\w?)?"
-    r"|[一-鿿ぁ-んァ-ヶー]*[市区町村郡県都府][一-鿿ぁ-んァ-ヶー]*\d{1,3}(?:丁目\d{0,3}(?:番地?)?(?:\d{1,3}号?)?|番地?\d{0,3}号?|-\d{1,3}(?:-\d{1,3})?)"
+    rf"|\b(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Camino|Carrera|Ronda|Travesía|CALLE|AVENIDA|PLAZA)\s*(?:(?:de los|de las|de la|del|de)\s+)?{_cap}(?:\s+{_cap}){{0,8}},?\s+(?:n\.?º\s*)?\d{{1,4}}\b(?:,\s*\d{{1,2}}\s?[ºª°]\s*\w?)?"
     r"|\b(?:P\.?\s?O\.?\s?Box|PO\s?Box|p\.?o\.?\s?box|Post(?:al)? Box|Postfach|Apartado(?: de correos)?|Casilla|Boîte postale|B\.P\.)\s*(?:no\.?\s*)?\d{1,6}\b(?:,\s*[A-Z][\w-]+)?")
+# streets named by their last word, with what may stand before it
+_TAIL_STREET = re.compile(rf"(?:(?<=[\w-])(?:gasse|straße|strasse|str\.|weg|platz|allee|ring|ufer|damm|steig|pfad|markt)|\b(?:Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee|Ring))\s+\d{{1,4}}\s?[a-z]?\b(?:,\s*\d{{5}}\s+{_cap}(?:\s+(?:am|an der|bei)\s+{_cap})?)?")
+_CAP_BEFORE = re.compile(r"\b[A-ZÀ-ÖØ-Þ][\w'’.-]*\s+$")
+_BLOCK = re.compile(r"[市区町村郡県都府][一-鿿ぁ-んァ-ヶー]{0,40}\d{1,3}(?:丁目\d{0,3}(?:番地?)?(?:\d{1,3}号?)?|番地?\d{0,3}号?|-\d{1,3}(?:-\d{1,3})?)")
+_DENSE_RUN = re.compile(r"[一-鿿ぁ-んァ-ヶー]*$")
+
+
+def _streets(t: str) -> Iterator[tuple[int, int]]:
+    for m in _STREET.finditer(t):
+        yield m.span()
+    for m in _TAIL_STREET.finditer(t):
+        a, e = m.span()
+        if t[a].isupper():
+            if before := _CAP_BEFORE.search(t, max(0, a - 64), a):
+                a = before.start()
+        else:
+            run = a
+            while run > 0 and a - run < 64 and (t[run - 1].isalnum() or t[run - 1] in "_-"):
+                run -= 1
+            # the first capital that begins a part of the word
+            while run < a and not (t[run] in "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜ" and (run == 0 or not (t[run - 1].isalnum() or t[run - 1] == "_"))):
+                run += 1
+            if run == a:
+                continue
+            a = run
+        yield a, e
+    if not t.isascii():
+        for m in _BLOCK.finditer(t):
+            yield _DENSE_RUN.search(t, max(0, m.start() - 40), m.start()).start(), m.end()
+
+
 _PHONE = re.compile(
     r"(?<![\w+.,/-])\+\d{1,3}(?:[\s./-]{0,2}\(?\d{1,5}\)?){2,6}(?:\s*(?:ext|extn|x|durchwahl|poste)\.?\s*\d{1,5})?(?![\w-])"
     r"|(?<![\w+])\(\d{2,5}\)\s?\d{3,4}[\s-]?\d{3,4}(?:\s*(?:ext|extn|x)\.?\s*\d{1,5})?(?![\w-])"
@@ -137,7 +210,7 @@ _PHONE = re.compile(
     r"|(?<![\w+.,/-])(?<!\d )0(?!00)\d{1,4}(?:[ /]\d{2,8}){1,4}(?![\w/-])"
     r"|(?<![\w+.,/-])0\d{9,10}(?![\w-])", re.I)
 _AMOUNT = re.compile(r"\d{1,3}(?: \d{3})* 000")
-_CUED_PHONE = re.compile(r"(?:\b(?:tel|telefon|teléfono|téléphone|phone|phone_number|call|mobile|mobil|handy|cell|whatsapp|fax|ring me on|text|rückruf[\w ]*)\b[\s.:=]*(?:is |me on |bitte unter )?)(\(?\+?\d[\d\s()./-]{5,18}\d)(?![\w-])", re.I)
+_CUED_PHONE = re.compile(r"(?:\b(?:tel|telefon|teléfono|téléphone|phone|phone_number|call|mobile|mobil|handy|cell|whatsapp|fax|ring me on|text|rückruf[\w ]{0,40})\b[\s.:=]*(?:is |me on |bitte unter )?)(\(?\+?\d[\d\s()./-]{5,18}\d)(?![\w-])", re.I)
 
 # What stands before or after a person's name.
 TITLES = r"(?:Dr|Mr|Mrs|Ms|Mx|Prof|Herr|Herrn|Frau|Sr|Sra|Srta|Mme|Mlle|Monsieur|Madame|Señor|Señora|Don|Doña|Sir|Dame)\b\.?"
@@ -147,7 +220,7 @@ _nonlatin = r"[Ͱ-᷿぀-￯][Ͱ-᷿぀-￯'’.-]*"
 _FOREIGN = re.compile(rf"(?:(?P<l>{_LEFT})\s*|(?<!\S))(?P<n>{_nonlatin}(?:[  ]{_nonlatin}){{0,3}})(?P<r>\s*(?:,|\.|;|/|$|\n| [A-Za-zÀ-ÿ(]))", re.I)
 _FOREIGN_RIGHT = re.compile(r"\s*(?:/|\(|,\s*tel|owns the|asked about|is on leave|will join|\n|$)", re.I)
 _HAS_FOREIGN = re.compile(r"[Ͱ-᷿぀-￯]")
-_INITIAL = re.compile(rf"(?:(?P<l>{_LEFT})\s*)?(?<![\w.])(?P<n>[A-Z]\.\s(?:[A-Z]\.\s)?(?:van der\s|van\s|von\s|de\s)?(?P<s>[^\W\d_][\w'’-]{{2,}}))|(?<![\w.])(?P<n2>(?P<s2>[^\W\d_][\w'’-]{{2,}}),\s[A-Z]\.)", re.I)
+_INITIAL = re.compile(rf"(?:(?P<l>{_LEFT})\s*)?(?<![\w.])(?P<n>[A-Z]\.\s(?:[A-Z]\.\s)?(?:van der\s|van\s|von\s|de\s)?(?P<s>[^\W\d_][\w'’-]{{2,60}}))|(?<![\w.])(?P<n2>(?P<s2>[^\W\d_][\w'’-]{{2,60}}),\s[A-Z]\.)", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TAIL = re.compile(r"(?:\s+[A-Z]\.)?(?:\s+(?:van der|van|von|de|der|ter|al|bin)(?=\s))?\s+([^\W\d_]+(?:['’-][^\W\d_]+)*)")
 _CUE_BEFORE = re.compile(rf"(?:{_LEFT})\s*$", re.I)
@@ -275,16 +348,15 @@ class Finder:
             if taken.add(a, b):
                 found.append((a, b, kind))
 
-        if "@" in t:
-            for m in _EMAIL.finditer(t):
-                add(*m.span(), "email")
+        for a, b in _emails(t):
+            add(a, b, "email")
         digits = len(_DIGIT.findall(t))
         if digits >= 6:
             for m in _ID.finditer(t):
                 add(*m.span(), "id_number")
         if digits and hints & STREET_HINT:
-            for m in _STREET.finditer(t):
-                add(*m.span(), "street_address")
+            for a, b in _streets(t):
+                add(a, b, "street_address")
         if digits >= 7:
             for m in _PHONE.finditer(t):
                 if 7 <= sum(c.isdigit() for c in m[0]) <= 18 and not _AMOUNT.fullmatch(m[0]):
@@ -303,94 +375,132 @@ class Finder:
             found = [(first[a], last[b - 1], k) for a, b, k in found]
         return sorted(found)
 
-    def redact(self, text: str) -> str:
+    def redact(self, text: str, spans: list[tuple[int, int, str]] | None = None) -> str:
         """The text with `[EMAIL]`, `[PHONE]`, ... in the place of what was found."""
         out, at = [], 0
-        for a, b, k in self.spans(text):
+        for a, b, k in self.spans(text) if spans is None else spans:
             out += [text[at:a], f"[{k.upper()}]"]
             at = b
         return "".join([*out, text[at:]])
 
 
-MOST_NAMES = 20_000
-
-
-def known_names(people: DataFrame, name: str, least: int = 3) -> tuple[set[str], set[str]]:
-    """Given names and surnames that occur in at least `least` rows, at most `MOST_NAMES` of the most frequent each.
+def known_names(people: DataFrame, name: str) -> DataFrame:
+    """word, given (true for a given name, false for a surname): every word of the people's names, as what it is more often.
 
     Read off the people we write to: the first and last word of a name, or the reverse where the
-    surname comes first, before a comma. Credentials after a name are left out.
+    surname comes first, before a comma. Credentials after a name are left out. A word seen as often
+    as either counts as a given name. Null, blank and one-word names have none.
     """
     n = F.regexp_replace(F.trim(F.col(name)), r",\s*(?:[A-Z]{2,5}|PhD|Ph\.D\.|MSc|BSc|Dr)\s*$", "")
     comma = n.contains(",")
     parts = F.split(F.regexp_replace(n, ",", ""), r"\s+")
     first, last = F.element_at(parts, 1), F.element_at(parts, -1)
     rows = people.where(F.col(name).isNotNull() & (F.size(parts) >= 2)).select(F.explode(F.array(
-        F.struct(F.lit("g").alias("k"), F.lower(F.when(comma, last).otherwise(first)).alias("w")), F.struct(F.lit("s").alias("k"), F.lower(F.when(comma, first).otherwise(last)).alias("w")))).alias("e")).select("e.*")
-    counts = rows.where(F.col("w").rlike(r"^[\p{L}][\p{L}'’-]{2,}$")).groupBy("k", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    out: dict[str, set[str]] = {"g": set(), "s": set()}
-    for k in out:
-        out[k] = {r["w"] for r in counts.where(F.col("k") == k).orderBy(F.desc("n"), "w").limit(MOST_NAMES).collect()}
-    # a word that is mostly the one is not the other
-    both = out["g"] & out["s"]
-    if both:
-        n_of = {(r["k"], r["w"]): r["n"] for r in counts.where(F.col("w").isin(sorted(both)[:5000])).collect()}
-        for w in both:
-            out["s" if n_of.get(("g", w), 0) >= n_of.get(("s", w), 0) else "g"].discard(w)
-    return out["g"], out["s"]
-
-
-_finders: dict[int, tuple[Finder, dict[str, tuple[str, ...]]]] = {}
+        F.struct(F.lit(1).alias("g"), F.lower(F.when(comma, last).otherwise(first)).alias("word")), F.struct(F.lit(-1).alias("g"), F.lower(F.when(comma, first).otherwise(last)).alias("word")))).alias("e")).select("e.*")
+    return rows.where(F.col("word").rlike(r"^[\p{L}][\p{L}'’-]{2,}$")).groupBy("word").agg((F.sum("g") >= 0).alias("given"))
+
+
+MOST_BYTES = 32 << 20
 CACHED = 200_000
+_finders: dict[tuple, Finder] = {}
 
 
-def _worker_finder(given: set[str], surnames: set[str]) -> tuple[Finder, dict[str, tuple[str, ...]]]:
-    """One finder and one cache of results a Python worker, kept over its tasks."""
-    key = hash((frozenset(given), frozenset(surnames)))
+def _worker_finder(key: tuple, given: frozenset[str], surnames: frozenset[str]) -> Finder:
+    """One finder a Python worker, kept over its tasks."""
     if key not in _finders:
         _finders.clear()
-        _finders[key] = (Finder(given, surnames), {})
+        _finders[key] = Finder(given, surnames)
     return _finders[key]
 
 
-def find_types(texts: DataFrame, keys: list[str], text: str, given: set[str], surnames: set[str]) -> DataFrame:
-    """`keys`, pii_type: one row for each type present in a row's text. Null and blank texts have none; repeated rows give repeated rows; whole texts are read."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in texts.select(*keys).dtypes) + ", pii_type string"
+def _scan(texts: DataFrame, keys: list[str], text: str, names: DataFrame, schema: str, emit, most_bytes: int) -> DataFrame:
+    """Each row's keys with `emit` of its text and spans.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, known = _worker_finder(given, surnames)
+    Names whose words have at most `most_bytes` bytes together go to every task; of more, each text
+    gets those it holds by a join on its words. Either way the same names are known.
+    """
+    size = names.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    kinds = dict(texts.dtypes)
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+
+    def rows(pdf: pd.DataFrame, found: list[list]) -> pd.DataFrame:
+        at = [i for i, f in enumerate(found) for _ in f]
+        out = pdf[keys].iloc[at].copy()
+        flat = [x for f in found for x in f]
+        for k, c in enumerate(emit.columns):
+            # an empty list alone would have no type
+            out[c] = pd.Series([x[k] for x in flat], dtype=object, index=out.index)
+        return out
+
+    if size <= most_bytes:
+        known = sorted(map(tuple, names.collect()))
+        given, surnames = frozenset(w for w, g in known if g), frozenset(w for w, g in known if not g)
+        key = (len(known), hash(tuple(known)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            f, cache = _worker_finder(key, given, surnames), {}
+
+            def one(t: object) -> list:
+                if not isinstance(t, str):
+                    return emit(f, None, [])
+                if (got := cache.get(t)) is None:
+                    got = emit(f, t, f.spans(t))
+                    if len(t) < 1000:
+                        if len(cache) >= CACHED:
+                            cache.clear()
+                        cache[t] = got
+                return got
+
+            for pdf in batches:
+                yield rows(pdf, [one(t) for t in pdf[text]])
+
+        return texts.select(*keys, text).mapInPandas(run, f"{head}, {schema}")
+
+    t = texts.select(*keys, F.col(text).alias("__text")).withColumn("__hash", F.sha2("__text", 256))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(h, w) for h, x in zip(pdf["__hash"], pdf["__text"]) for w in set(_TOKEN.findall(rewrite(x, False, False)[0].lower()))]
+            yield pd.DataFrame(found, columns=["__hash", "word"])
 
-        def types(t: str) -> tuple[str, ...]:
-            if (got := known.get(t)) is None:
-                got = tuple(dict.fromkeys(k for _, _, k in f.spans(t)))
-                if len(t) < 1000:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    known[t] = got
-            return got
+    distinct = t.where("__text is not null").select("__hash", "__text").distinct()
+    own = distinct.mapInPandas(words, "__hash string, word string").join(names, "word").groupBy("__hash").agg(F.collect_list(F.when(F.col("given"), F.col("word"))).alias("__g"), F.collect_list(F.when(~F.col("given"), F.col("word"))).alias("__s"))
+    empty = F.array().cast("array<string>")
+    # no name is in a text that is not there
+    t = t.join(own, "__hash", "left").select(*keys, "__text", F.coalesce("__g", empty).alias("__g"), F.coalesce("__s", empty).alias("__s"))
 
+    def run_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = Finder(set(), set())
         for pdf in batches:
-            kinds = [types(t) if isinstance(t, str) and t else () for t in pdf[text]]
-            at = [i for i, ks in enumerate(kinds) for _ in ks]
-            out = pdf[keys].iloc[at].copy()
-            # an empty list alone would have no text type
-            out["pii_type"] = pd.Series([k for ks in kinds for k in ks], dtype=object, index=out.index)
-            yield out
+            found = []
+            for x, g, s in zip(pdf["__text"], pdf["__g"], pdf["__s"]):
+                f.given, f.surnames = set(g), set(s)
+                f.known = f.given | f.surnames
+                found.append(emit(f, x, f.spans(x)) if isinstance(x, str) else emit(f, None, []))
+            yield rows(pdf, found)
 
-    return texts.select(*keys, text).mapInPandas(run, schema)
+    return t.mapInPandas(run_own, f"{head}, {schema}")
 
 
-def redact(texts: DataFrame, keys: list[str], text: str, given: set[str], surnames: set[str]) -> DataFrame:
-    """`keys`, redacted, n_found: each row's text with typed placeholders. Null stays null."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in texts.select(*keys).dtypes) + ", redacted string, n_found int"
+class _Types:
+    columns = ("pii_type",)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Finder(given, surnames)
-        one = lru_cache(maxsize=50_000)(lambda t: (f.redact(t), len(f.spans(t))))
-        for pdf in batches:
-            done = [one(t) if isinstance(t, str) else (None, 0) for t in pdf[text]]
-            out = pdf[keys].copy()
-            out["redacted"], out["n_found"] = [d[0] for d in done], [d[1] for d in done]
-            yield out
+    def __call__(self, f: Finder, text: str | None, spans: list[tuple[int, int, str]]) -> list[tuple]:
+        return [(k,) for k in dict.fromkeys(k for _, _, k in spans)]
+
+
+class _Redacted:
+    columns = ("redacted", "n_found")
 
-    return texts.select(*keys, text).mapInPandas(run, schema)
+    def __call__(self, f: Finder, text: str | None, spans: list[tuple[int, int, str]]) -> list[tuple]:
+        return [(None if text is None else f.redact(text, spans), len(spans))]
+
+
+def find_types(texts: DataFrame, keys: list[str], text: str, names: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """`keys`, pii_type: one row for each type present in a row's text; `names` as `known_names` gives them. Null and blank texts have none; repeated rows give repeated rows; whole texts are read."""
+    return _scan(texts, keys, text, names, "pii_type string", _Types(), most_bytes)
+
+
+def redact(texts: DataFrame, keys: list[str], text: str, names: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """`keys`, redacted, n_found: each row's text with typed placeholders. Null stays null."""
+    return _scan(texts, keys, text, names, "redacted string, n_found int", _Redacted(), most_bytes)

@@ -93,14 +93,17 @@ def free_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    given, surnames = pii.known_names(table(spark, d, "leads"), "name")
-    return pii.find_types(free_texts(spark, d), ["source_table", "record_id"], "text", given, surnames).distinct()
+    return pii.find_types(free_texts(spark, d), ["source_table", "record_id"], "text", pii.known_names(table(spark, d, "leads"), "name")).distinct()
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every free text with typed placeholders in the place of personal information."""
-    given, surnames = pii.known_names(table(spark, d, "leads"), "name")
-    return pii.redact(free_texts(spark, d), ["source_table", "record_id"], "text", given, surnames)
+    return pii.redact(free_texts(spark, d), ["source_table", "record_id"], "text", pii.known_names(table(spark, d, "leads"), "name"))
+
+
+def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The kept conversations: their messages in order, with sessions, roles and bodies."""
+    return conversations.rebuilt(table(spark, d, "lead_messages"))
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +137,7 @@ def p10_sentences_per_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_unmatched, p2_found, p2_clusters, p3_found, p3_group_sizes, p4_found, p4_by_currency, p5_found, p5_sessions, p6_found, p6_redacted, p8_found, p8_leaked_items, p9_mix, p9_shares, p10_found, p10_sentences_per_document]
+    own = [p1_found, p1_unmatched, p2_found, p2_clusters, p3_found, p3_group_sizes, p4_found, p4_by_currency, p5_found, p5_sessions, p5_conversations, p6_found, p6_redacted, p8_found, p8_leaked_items, p9_mix, p9_shares, p10_found, p10_sentences_per_document]
     return {f.__name__: f for f in own}
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 pytest.importorskip("tallyloom.llm")
@@ -50,16 +52,32 @@ def test_over_rows(spark):
     long = "filler words here. " * 20000 + "Greta Okembari, 212-555-0178"
     rows = [("1", "Hi Greta, 212-555-0178"), ("1", "Hi Greta, 212-555-0178"), ("2", None), ("3", ""), ("4", long), (None, "a@b.example")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "id string, text string, pii_type string")
-    got = sorted([tuple(r) for r in pii.find_types(df, ["id"], "text", F.given, F.surnames).collect()], key=str)
-    assert got == sorted([("1", "person_name"), ("1", "phone")] * 2 + [("4", "person_name"), ("4", "phone"), (None, "email")], key=str)
-    red = {r["id"]: r["redacted"] for r in pii.redact(df, ["id"], "text", F.given, F.surnames).collect()}
-    assert red["2"] is None and red["3"] == "" and red["1"] == "Hi [PERSON_NAME], [PHONE]"
-    assert pii.find_types(df.limit(0), ["id"], "text", F.given, F.surnames).count() == 0
+    names = spark.createDataFrame([(w, True) for w in F.given] + [(w, False) for w in F.surnames], "word string, given boolean")
+    for most in (1_000_000, 1):  # names in every task, or by a join
+        got = sorted([tuple(r) for r in pii.find_types(df, ["id"], "text", names, most).collect()], key=str)
+        assert got == sorted([("1", "person_name"), ("1", "phone")] * 2 + [("4", "person_name"), ("4", "phone"), (None, "email")], key=str)
+        red = {r["id"]: r["redacted"] for r in pii.redact(df, ["id"], "text", names, most).collect()}
+        assert red["2"] is None and red["3"] == "" and red["1"] == "Hi [PERSON_NAME], [PHONE]"
+        assert pii.find_types(df.limit(0), ["id"], "text", names, most).count() == 0
+        assert pii.find_types(df, ["id"], "text", names.limit(0), most).where("pii_type = 'person_name'").count() == 0
 
 
 def test_known_names(spark):
-    df = spark.createDataFrame([("Greta Okembari",)] * 3 + [("Okembari, Greta",), ("Mateo Lindqvarn, PhD",), ("Mateo X. Lindqvarn",), ("MATEO LINDQVARN",), (None,), ("",), ("Solo",)], "name string")
-    assert pii.known_names(df, "name") == ({"greta", "mateo"}, {"okembari", "lindqvarn"})
+    df = spark.createDataFrame([("Greta Okembari",)] * 3 + [("Okembari, Greta",), ("Mateo Lindqvarn, PhD",), ("Mateo X. Lindqvarn",), ("MATEO LINDQVARN",), ("Okembari Solheim",), (None,), ("",), ("Solo",)], "name string")
+    assert {tuple(r) for r in pii.known_names(df, "name").collect()} == {("greta", True), ("mateo", True), ("okembari", False), ("lindqvarn", False), ("solheim", False)}
+    assert pii.known_names(df.limit(0), "name").count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "a" * 1_000_000, "a.b-" * 60_000, "@" * 200_000, "a@" * 100_000, "x (at) " * 40_000, " " * 200_000 + "at x dot y @", "A-" * 100_000, "市" * 60_000 + "1", "national id " * 20_000, "five " * 40_000, "1 " * 100_000, "A.A." * 60_000 + " Straße", "tel" + " ." * 90_000, "rückruf " * 25_000,
+])
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    F.spans(text + " dot ( @ street tel national id 123456789 straße")
+    long = time.process_time() - began
+    began = time.process_time()
+    F.spans(text[: len(text) // 4] + " dot ( @ street tel national id 123456789 straße")
+    assert long < 2 or long < 8 * (time.process_time() - began)
 
 
 @pytest.mark.parametrize("text", [
