@@ -71,6 +71,21 @@ def test_spaced_scripts(units):
     assert cut("  " + "\n".join(units) + "\n") == units
 
 
+@pytest.mark.parametrize("units", [
+    ["She gave it to me.", "Then she left."], ["He won a gem.", "It shone."], ["I work for the rep.", "They pay well."], ["We chose plan B.", "Then we left."], ["So did I.", "Nobody knew why."], ["We met Rep. Harrow and J. Smith.", "The gen. manager left."], ["Das gilt gem. Vertrag, z. B. Die Halle.", "Hr. Vogt kam."], ["Me Durand est venu avec les autres.", "Il a vu Me. Morel."],
+])
+def test_abbreviations_are_those_of_the_language(units):
+    assert cut(" ".join(units)) == units
+
+
+def test_marks_without_a_blank():
+    assert cut("Hello!World is here. See x.Y or https://a.example/?Q=1 now.") == ["Hello!", "World is here.", "See x.Y or https://a.example/?Q=1 now."]
+
+
+def test_one_text_in_two_languages():
+    assert cut("Er kam gem. Absprache zu den anderen.\n\nHe found the gem. It was of no use.") == ["Er kam gem. Absprache zu den anderen.", "He found the gem.", "It was of no use."]
+
+
 @pytest.mark.parametrize("units", [
     ["“今年还续约吗？”采购经理问道。", "她回答：“太早了。再等等。”", "根据纪要，冻结了预算（见附件6）！", "客户没有回复……我们决定再等一周。"], ["「来期も更新しますか？」と尋ねた。", "彼女は「まだ早い。待って。」と答えた。", "資料はVer.3.52に更新済みです。"],
 ])
