@@ -1,16 +1,19 @@
 """Mapping free-entered values to a canonical list (problem 1).
 
-An automaton holds the canonical names and their aliases, the latter made by rule from a few
+An automaton holds the canonical names and their aliases, given by the caller or made by rule from
 tables of word forms; it finds all mentions embedded in a value, of which the longest that do not
 overlap are kept. Values without a mention go to token-set similarity, in which a token may be a
-known form of the entry's token or one typing slip away from it.
+known form of the entry's token or one typing slip away from it; an index of tokens tells which
+entries can be meant. The tables in this module are those of job titles; other lists bring their own.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -103,7 +106,6 @@ PHRASES = {
 }
 # Whoever helps the holder of a job, or learns it, has another job.
 HELPERS = {"assistant", "assistants", "asst", "assistente", "assistentin", "assistenz", "assistante", "asistente", "secretary", "sekretar", "sekretarin", "secretaire", "secretaria", "intern", "praktikant", "praktikantin", "stagiaire", "trainee", "trainees", "apprentice", "azubi", "student", "studentin", "werkstudent", "volunteer", "pa", "aide", "becario"}
-MOST_ENTRIES = 20_000
 STOP = {"of", "and", "the", "for", "a", "an", "de", "des", "du", "und", "et", "y", "in", "at", "to", "la", "le", "der", "die", "fur"}
 LOOKALIKE = str.maketrans("аеорсхуіјѕԁһкмтнвАЕОРСХУІЈЅКМТНВΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνικτυ", "aeopcxyijsdhkmthbAEOPCXYIJSKMTHBABEZHIKMNOPTYXaopviktu")
 
@@ -129,75 +131,112 @@ def one_slip(a: str, b: str) -> bool:
     return a[i + 1:] == b[i + 1:] or a[i:] == b[i + 1:] or a[i + 1:] == b[i:] or (a[i:i + 2] == b[i:i + 2][::-1] and a[i + 2:] == b[i + 2:])
 
 
+def slip_keys(w: str) -> set[str]:
+    """Words that `one_slip` holds equal share one: the word, and with one letter less."""
+    return {w} | ({w[:i] + w[i + 1:] for i in range(len(w))} if len(w) >= 4 else set())
+
+
+MOST_COMBINATIONS = 4096
+
+
 class Matcher:
     """Maps a value to one of the entries, or to none.
 
-    Tokens of an entry are its words with multi-word units (`human resources`) kept whole.
+    Tokens of an entry are its words with multi-word units (`human resources`) kept whole. `forms`
+    gives other ways to write a token, `aliases` other names of an entry (by its plain spelling);
+    values with one of the words `helpers` name no entry.
     """
 
-    def __init__(self, entries: list[str]):
+    def __init__(self, entries: list[str], forms: dict[str, list[str]] = WORD_FORMS, aliases: dict[str, list[str]] = PHRASES, helpers: set[str] = HELPERS):
+        self.word_forms, self.helpers = forms, helpers
         self.entries = sorted(set(entries), key=lambda e: (plain(e), e))
+        own = {plain(k): v for k, v in aliases.items()}
         self.auto = ahocorasick.Automaton()
         seen: dict[str, int] = {}
         self.units: list[list[str]] = []
+        self.patterns: list[tuple[int, re.Pattern]] = []
         for i, e in enumerate(self.entries):
             self.units.append(self._units(plain(e)))
-            for p in self._aliases(plain(e), self.units[-1]):
-                seen.setdefault(p, i)
+            for p in (plain(e), plain(e).replace(" ", ""), *map(plain, own.get(plain(e), []))):
+                if p:
+                    seen.setdefault(p, i)
+            choices = [self._forms(u) for u in self.units[-1]]
+            if math.prod(map(len, choices)) <= MOST_COMBINATIONS:
+                for p in self._combined(choices):
+                    seen.setdefault(p, i)
+            else:  # the same ways to write it, as a pattern
+                self.patterns.append((i, self._pattern(choices)))
         for p, i in seen.items():
             self.auto.add_word(f" {p} ", (i, len(p)))
         if seen:
             self.auto.make_automaton()
         self.seen = seen
         self.forms = [[set(self._forms(u)) for u in us] for us in self.units]
+        # for each word of a form, near or exact, the units it may stand for
+        self.index: dict[str, set[tuple[int, int]]] = defaultdict(set)
+        for i, units in enumerate(self.forms):
+            for u, fs in enumerate(units):
+                for f in fs:
+                    for k in slip_keys(f.split()[0]) if f else ():
+                        self.index[k].add((i, u))
 
-    @staticmethod
-    def _units(e: str) -> list[str]:
+    def _units(self, e: str) -> list[str]:
         words, out = [w for w in e.split() if w not in STOP], []
         while words:
-            n = 2 if " ".join(words[:2]) in WORD_FORMS and len(words) > 1 else 1
+            n = 2 if " ".join(words[:2]) in self.word_forms and len(words) > 1 else 1
             out.append(" ".join(words[:n]))
             words = words[n:]
         return out
 
+    def _forms(self, unit: str) -> list[str]:
+        words = [[w, *self.word_forms.get(w, [])] for w in unit.split()] if " " in unit else [[unit]]
+        return list(dict.fromkeys([*(" ".join(ws) for ws in itertools.product(*words)), *self.word_forms.get(unit, [])]))
+
     @staticmethod
-    def _forms(unit: str) -> list[str]:
-        words = [[w, *WORD_FORMS.get(w, [])] for w in unit.split()] if " " in unit else [[unit]]
-        return list(dict.fromkeys([*(" ".join(ws) for ws in itertools.product(*words)), *WORD_FORMS.get(unit, [])]))
-
-    def _aliases(self, e: str, units: list[str]) -> Iterator[str]:
-        yield e
-        yield e.replace(" ", "")
-        for p in PHRASES.get(e, []):
-            yield plain(p)
-        choices = [self._forms(u) for u in units]
-        for combo in itertools.islice(itertools.product(*choices), 4096):
+    def _combined(choices: list[list[str]]) -> Iterator[str]:
+        """Every way to write the units: in order, or with the last or first one moved to the other end, and with `of`."""
+        if not choices:
+            return
+        for combo in itertools.product(*choices):
             for ws in (combo, (*combo[-1:], *combo[:-1]), (*combo[1:], combo[0])):
                 yield " ".join(ws)
                 yield f"{ws[0]} of {' '.join(ws[1:])}"
                 yield f"{' '.join(ws[:-1])} of {ws[-1]}"
 
+    @staticmethod
+    def _pattern(choices: list[list[str]]) -> re.Pattern:
+        alt = ["(?:" + "|".join(sorted(map(re.escape, c), key=len, reverse=True)) + ")" for c in choices]
+        ways = []
+        for ws in (alt, [alt[-1], *alt[:-1]], [*alt[1:], alt[0]]):
+            ways += [" ".join(ws), f"{ws[0]} of {' '.join(ws[1:])}", f"{' '.join(ws[:-1])} of {ws[-1]}"]
+        return re.compile("(?<= )(?:" + "|".join(ways) + ")(?= )")
+
     def mentions(self, text: str) -> list[tuple[int, int]]:
         """(length, entry) of the longest mentions that do not overlap, longest first."""
-        if not self.seen:
-            return []
         s = f" {text} "
-        found = sorted(((n, end - n, i) for end, (i, n) in self.auto.iter(s)), key=lambda m: (-m[0], m[1], m[2]))
+        found = [(n, end - n, i) for end, (i, n) in self.auto.iter(s)] if self.seen else []
+        for i, p in self.patterns:
+            found += [(m.end() - m.start(), m.start(), i) for m in p.finditer(s)]
         kept, marked = [], bytearray(len(s))
-        for n, at, i in found:
+        for n, at, i in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
             if not any(marked[at:at + n]):
                 marked[at:at + n] = b"\x01" * n
                 kept.append((n, i))
         return kept
 
-    def similar(self, words: list[str]) -> int | None:
-        """The entry all of whose tokens are among the words, with known forms and single slips; the one that leaves the fewest words over."""
+    def similar(self, words: list[str]) -> tuple[float, int] | None:
+        """(score, entry) of the entry all of whose tokens are among the words, with known forms and single slips; the one that leaves the fewest words over."""
         bag = [w for w in words if w not in STOP]
         pairs = [" ".join(p) for p in zip(bag, bag[1:])]
+        may: dict[int, set[int]] = defaultdict(set)
+        for w in bag:
+            for k in slip_keys(w):
+                for i, u in self.index.get(k, ()):
+                    may[i].add(u)
         best, score = None, 0.0
-        for i, forms in enumerate(self.forms):
+        for i in sorted(i for i, us in may.items() if len(us) == len(self.forms[i])):
             free, hit = list(bag), 0
-            for fs in forms:
+            for fs in self.forms[i]:
                 at = next((w for w in free if w in fs), None) or next((w for w in free for f in fs if " " not in f and len(f) > 4 and one_slip(w, f)), None)
                 if at is not None:
                     free.remove(at)
@@ -210,40 +249,73 @@ class Matcher:
                     if w in free:
                         free.remove(w)
                 hit += 1
-            if hit == len(forms) and (s := hit / (hit + len(free)) + hit) > score:
+            if hit == len(self.forms[i]) and (s := hit / (hit + len(free)) + hit) > score:
                 best, score = i, s
-        return best
+        return None if best is None else (score, best)
 
-    def match(self, value: str | None) -> str | None:
+    def rated(self, value: str | None) -> tuple[int, float, str] | None:
+        """(1 for a mention and 0 for similarity, its length or score, entry) of the best entry."""
         text = plain(value) if value else ""
-        if not text:
-            return None
         words = text.split()
-        if HELPERS & set(words):
+        if not text or self.helpers & set(words):
             return None
-        got = self.mentions(text)
-        i = got[0][1] if got else self.similar(words)
-        return None if i is None else self.entries[i]
+        if got := self.mentions(text):
+            return 1, float(got[0][0]), self.entries[got[0][1]]
+        s = self.similar(words)
+        return s and (0, s[0], self.entries[s[1]])
+
+    def match(self, value: str | None) -> str | None:
+        got = self.rated(value)
+        return got and got[2]
+
+
+MOST_BYTES = 8 << 20
 
 
-def map_to_entries(rows: DataFrame, key: str, value: str, entries: list[str], most_entries: int = MOST_ENTRIES, report_unmatched: bool = False) -> DataFrame:
+def map_to_entries(rows: DataFrame, key: str, value: str, entries: list[str], report_unmatched: bool = False, forms: dict[str, list[str]] = WORD_FORMS, aliases: dict[str, list[str]] = PHRASES, helpers: set[str] = HELPERS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """`key`, `entry`: each row whose value names an entry of the list, at most one entry a row.
 
-    The list goes to every task inside the matcher, so its length is checked against
-    `most_entries`. A value naming several entries gets the longest mention, then the first one.
+    A list of at most `most_bytes` goes to every task inside the matcher, and rows are mapped where
+    they are, without a shuffle; a longer one is cut into such parts, each distinct value is rated by
+    every part, and the best rating counts. A value naming several entries gets the longest mention,
+    then the first entry in the order of spelling. `forms`, `aliases` and `helpers` are as in `Matcher`.
     Null, blank or filler values and those that name a helper of the job name no entry. With
-    `report_unmatched` such rows come with a null entry. Rows are mapped where they are, without a
-    shuffle; each task maps a distinct value once. Repeated rows give repeated rows.
+    `report_unmatched` such rows come with a null entry. Repeated rows give repeated rows.
     """
-    if len(entries) > most_entries:
-        raise ValueError(f"{len(entries)} entries; the matcher is made for at most {most_entries}")
     kt = dict(rows.dtypes)[key]
+    parts: list[list[str]] = [[]]
+    size = 0
+    for e in sorted(set(entries), key=lambda e: (plain(e), e)):
+        size += len(e.encode())
+        if size > most_bytes and parts[-1]:
+            parts.append([])
+            size = len(e.encode())
+        parts[-1].append(e)
+    own = rows.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
+
+    if len(parts) == 1:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = Matcher(entries, forms, aliases, helpers)
+            known = lru_cache(maxsize=500_000)(m.match)
+            for pdf in batches:
+                out = pd.DataFrame({"__k": pdf["__k"], "entry": [known(v) if isinstance(v, str) else None for v in pdf["__v"]]})
+                yield out if report_unmatched else out[out["entry"].notna()]
+
+        return own.mapInPandas(run, f"__k {kt}, entry string").toDF(key, "entry")
+
+    values = own.select("__v").where("__v is not null").distinct()
+
+    def rated(part: list[str]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = Matcher(part, forms, aliases, helpers)
+            for pdf in batches:
+                found = [(v, *r) for v in pdf["__v"] if (r := m.rated(v))]
+                yield pd.DataFrame(found, columns=["__v", "kind", "score", "entry"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Matcher(entries)
-        known = lru_cache(maxsize=500_000)(m.match)
-        for pdf in batches:
-            out = pd.DataFrame({"__k": pdf["__k"], "entry": [known(v) if isinstance(v, str) else None for v in pdf["__v"]]})
-            yield out if report_unmatched else out[out["entry"].notna()]
+        return values.mapInPandas(run, "__v string, kind int, score double, entry string")
 
-    return rows.select(F.col(key).alias("__k"), F.col(value).alias("__v")).mapInPandas(run, f"__k {kt}, entry string").toDF(key, "entry")
+    every = rated(parts[0]).withColumn("part", F.lit(0))
+    for n, part in enumerate(parts[1:], 1):
+        every = every.unionAll(rated(part).withColumn("part", F.lit(n)))
+    best = every.groupBy("__v").agg(F.max_by("entry", F.struct("kind", "score", -F.col("part"))).alias("entry"))
+    return own.join(best, "__v", "left" if report_unmatched else "inner").select(F.col("__k").alias(key), "entry")

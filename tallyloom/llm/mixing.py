@@ -4,12 +4,14 @@ Each source's weight is a function of training time whose mean is its target. Th
 largest one no source's cap on repeats forbids. A source's documents, in a fixed hashed order and
 repeated as often as its demand asks, fill its demand; a document's place in that order, in tokens,
 is turned into a training time by inverting the integral of the source's weight, and documents are
-range-sorted by it. Running sums come from bucket totals, so that a source of any size is spread.
+range-sorted by it. Running sums come from bucket totals; there are as many buckets as keep each
+one small, so that a source of any size is spread.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import os
 from collections.abc import Iterator
 
@@ -20,8 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.lineage import cut
 
-BUCKETS = 1024
-MOST_SOURCES = 10_000
+BUCKETS, PER_BUCKET = 1024, 1 << 16
 
 
 def default_tokenizer() -> str:
@@ -78,14 +79,14 @@ def invert(knots: list[tuple[float, float]], done: np.ndarray) -> np.ndarray:
 
 
 def plan(counted: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """The bucketed documents of the target sources, and for each source its tokens, demand and whole repeats."""
-    want = [r.asDict() for r in targets.where("source is not null and target_weight > 0 and max_repeats > 0").limit(MOST_SOURCES + 1).collect()]
-    if len(want) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    """The bucketed documents of the target sources, and for each source (`targets` has one row each) its tokens, demand and whole repeats."""
+    want = [r.asDict() for r in targets.where("source is not null and target_weight > 0 and max_repeats > 0").collect()]
     docs = counted.where((F.col("tokens") > 0) & F.col("source").isin([t["source"] for t in want]))
-    docs = docs.withColumn("place", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("bucket", F.pmod(F.shiftright("place", 40), F.lit(BUCKETS)))
-    docs = cut(docs, "counted").df
+    docs = cut(docs.withColumn("place", F.xxhash64(F.col("doc_id").cast("string"))), "counted").df
     have = {r["source"]: (r["n"], r["d"]) for r in docs.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("d")).collect()}
+    most = max((d for _, d in have.values()), default=0)
+    buckets = max(BUCKETS, 1 << math.ceil(math.log2(most / PER_BUCKET + 1)))
+    docs = docs.withColumn("bucket", F.pmod(F.shiftright("place", 24), F.lit(buckets)))
     want = [t for t in want if t["source"] in have]
     scale = sum(t["target_weight"] for t in want)
     for t in want:
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, targets: DataFrame, schedule: dict[str, list[tuple[floa
     spark = docs.sparkSession
     knots = schedule or ramps(want)
     facts = spark.createDataFrame([(t["source"], float(t["demand"]), int(t["tokens"]), int(t["max_repeats"]), float(t["total"])) for t in want], "source string, demand double, all_tokens bigint, most int, total double")
-    # at most BUCKETS rows a source: running sums of bucket totals, then of documents within a bucket
+    # one row a bucket and source: running sums of bucket totals, then of the few documents within a bucket
     sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     w = "PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     before = sums.selectExpr("source", "bucket", f"coalesce(sum(n) OVER ({w}), 0) AS before")
