@@ -20,9 +20,9 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
 
 def percent_decoded(path: Column, passes: int = 3) -> Column:
     """Percent escapes undone up to `passes` times; `+` stays, and a path with a broken escape stays as it is."""
-    for _ in range(passes):
-        path = F.coalesce(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), path)
-    return path
+    # a fold names each step's result once, where nested expressions would repeat it
+    once = lambda p, _: F.coalesce(F.try_url_decode(F.regexp_replace(p, r"\+", "%2B")), p)
+    return F.reduce(F.sequence(F.lit(1), F.lit(passes)), path, once)
 
 
 def profile_url(url: Column) -> Column:

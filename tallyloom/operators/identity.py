@@ -47,18 +47,22 @@ def match_ladder(rows: DataFrame, key: str, steps: list[tuple[str, Column, DataF
     return out.select(*[F.col(c) for c in rows.columns], F.coalesce(*ids).alias("matched_id"), F.coalesce(*how).alias("matched_by"))
 
 
-def resolve_profiles(rows: DataFrame, url: str, leads: DataFrame, identities: DataFrame) -> DataFrame:
-    """The lead a profile URL belongs to: by its identity URL, its member token, then the leads' own URL, token and public id."""
+def _profile_steps(url: str, leads: DataFrame, identities: DataFrame) -> list[tuple[str, Column, DataFrame, str, str]]:
     u = U.profile_url(F.col(url))
     token = U.member_token(F.col(url))
     is_kind = lambda *k: identities.where(F.col("kind").isin(*k))
-    return match_ladder(rows, url, [
+    return [
         ("identity_url", u, is_kind("linkedin_url"), "value", "lead_id"),
         ("identity_urn", token, is_kind("linkedin_urn", "linkedin_urn_search"), "value", "lead_id"),
         ("lead_url", u, leads.withColumn("__u", U.profile_url(F.col("linkedin_url"))).where("__u != ''"), "__u", "id"),
         ("lead_urn", token, leads, "member_urn", "id"),
         ("public_id", U.public_id(F.col(url)), leads.where(~F.col("public_id").startswith("AC")), "public_id", "id"),
-    ])
+    ]
+
+
+def resolve_profiles(rows: DataFrame, url: str, leads: DataFrame, identities: DataFrame) -> DataFrame:
+    """The lead a profile URL belongs to: by its identity URL, its member token, then the leads' own URL, token and public id."""
+    return match_ladder(rows, url, _profile_steps(url, leads, identities))
 
 
 def duplicate_groups(leads: DataFrame, key: Column, label: str) -> DataFrame:
@@ -84,6 +88,25 @@ def same_name_pairs(people: DataFrame, context: str, key: str, name: str, most:
     return pairs_within(d, [context, "name_key"], key, most)
 
 
+def member_ids(identities: DataFrame, kinds: list[str]) -> DataFrame:
+    """lead_id, value: the member token each lead goes by, of the kinds given.
+
+    A token of the member form comes first, then the member kind, then the primary row, then the
+    oldest (rows without a time last), then the smallest value.
+    """
+    order = F.struct(~F.col("value").startswith("ACoAA"), F.col("kind") != "linkedin_urn", ~F.coalesce("is_primary", F.lit(False)), F.col("created_at").isNull(), "created_at", "value")
+    return identities.where(F.col("kind").isin(kinds)).groupBy("lead_id").agg(F.min_by("value", order).alias("value"))
+
+
+def canonical_urls(rows: DataFrame, url: str, hint: str, leads: DataFrame, identities: DataFrame) -> DataFrame:
+    """rows with `canonical_url`: the URL of the lead a profile URL belongs to, found by the URL itself, then by the token in `hint`; the URL as it is where no lead, or none with a URL, is found."""
+    token = U.member_token(F.col(hint))
+    urns = identities.where(F.col("kind").isin("linkedin_urn", "linkedin_urn_search"))
+    found = match_ladder(rows, url, [*_profile_steps(url, leads, identities), ("hint_identity", token, urns, "value", "lead_id"), ("hint_lead", token, leads, "member_urn", "id")])
+    own = leads.select(F.col("id").alias("matched_id"), F.nullif("linkedin_url", F.lit("")).alias("__own"))
+    return found.join(own, "matched_id", "left").select(*rows.columns, F.when(F.coalesce(F.col(url), F.lit("")) != "", F.coalesce("__own", url)).otherwise(F.col(url)).alias("canonical_url"))
+
+
 def best_identity(identities: DataFrame, priority: list[str]) -> DataFrame:
     """One identity a lead: the first kind of the list, then the smallest value."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, priority)), F.col("kind")), F.lit(0)), F.lit(len(priority) + 1))

@@ -158,7 +158,7 @@ def policy_checks(r: Roles) -> DataFrame:
     """Each policy: whether its workspace functions are among its functions, and its rule is well formed; the latest version a group."""
     p = r.raw("voice_policy")
     within = F.coalesce(F.size(F.array_except("workspace_keep_functions", "keep_functions")) == 0, F.lit(True))
-    rule = F.col("activity_rule").isNull() | X.json_numbers_ok(F.col("activity_rule"), ["min_posts", "window_days"])
+    rule = X.activity_rule_ok(F.col("activity_rule"))
     return p.select("voice_group", "version", within.alias("functions_ok"), rule.alias("rule_ok"), (F.get_json_object("activity_rule", "$.min_posts").cast("bigint")).alias("min_posts"))
 
 
@@ -198,7 +198,7 @@ def posting_stats(r: Roles) -> DataFrame:
 
 
 def company_handles(r: Roles) -> DataFrame:
-    return r.raw("companies").select("id", F.array_join(pipelines.slug_candidates(F.col("name")), "|").alias("handles"))
+    return r.raw("companies").select("id", F.array_join(N.slug_candidates(F.col("name")), "|").alias("handles"))
 
 
 def filled_leads(r: Roles) -> DataFrame:
@@ -242,6 +242,22 @@ _FULL = f"CASE WHEN len({_WORDS}) >= 2 THEN array_to_string({_WORDS}, ' ') END"
 _KEEP = "row_number() OVER (PARTITION BY k ORDER BY linkedin_urn IS NOT NULL DESC, coalesce(regexp_matches(linkedin_url, '/in/AC[ow]AA'), false) DESC, coalesce(last_enriched_at, created_at) DESC, updated_at DESC, id DESC)"
 _ROOTS = "WITH RECURSIVE t AS (SELECT {0} AS x, {0} AS root FROM {2} WHERE {1} IS NULL UNION ALL SELECT c.{0}, t.root FROM {2} c JOIN t ON c.{1} = t.x) SELECT x AS {0}, root FROM t"
 _GOOD_KEY = r"regexp_matches(post_urn, '^urn:li:(?:activity|ugcPost|share):[0-9]{15,}$') AND (post_url IS NULL OR contains(post_url, regexp_extract(post_urn, '([0-9]+)$', 1)))"
+
+_RULE_KEYS = [*X.RULE_NUMBERS, "always_include"]
+
+
+def _rule_number(k: str) -> str:
+    return f"(NOT list_contains(json_keys(activity_rule), '{k}') OR (json_type(activity_rule, '$.{k}') IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') AND CAST(activity_rule ->> '{k}' AS DOUBLE) >= 0))"
+
+
+def _squeezed(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9&\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _bare(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '[^a-z0-9&\s]', ' ', 'g'), '\b(?:{'|'.join(N.HANDLE_SUFFIXES)})\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
 SQL = {
     "profile_urls": f"SELECT id, {_profile_url('linkedin_url')} AS url FROM leads",
     "clean_urls": r"""WITH p AS (SELECT id, regexp_replace(trim(linkedin_url), '#.*$', '') AS u FROM leads WHERE linkedin_url LIKE 'http%'), q AS (SELECT id, regexp_extract(u, '^([^?]*)', 1) AS head, list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_')) AS kept FROM p)
@@ -283,13 +299,19 @@ SQL = {
     "last_message": "SELECT conversation_id, id, sent_at FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sent_at DESC, id DESC) AS rn FROM (SELECT DISTINCT * FROM lead_messages) WHERE sent_at IS NOT NULL) WHERE rn = 1",
     "stale_leads": f"SELECT id, CAST(floor(epoch_us(TIMESTAMP '{AS_OF}') / 86400000000 - epoch_us(last_enriched_at) / 86400000000) AS BIGINT) AS days FROM leads WHERE floor(epoch_us(TIMESTAMP '{AS_OF}') / 86400000000 - epoch_us(last_enriched_at) / 86400000000) > 90",
     "policy_keywords": "WITH k AS (SELECT voice_group, unnest(title_keywords) AS keyword FROM voice_policy WHERE superseded_at IS NULL) SELECT voice_group, keyword, (SELECT count(*) FROM leads WHERE lower(regexp_replace(current_title, '^ +| +$', '', 'g')) = keyword) AS n FROM k",
-    "policy_checks": "SELECT voice_group, version, coalesce(list_has_all(keep_functions, workspace_keep_functions), true) AS functions_ok, activity_rule IS NULL OR (len(list_filter(json_keys(activity_rule), lambda x: x NOT IN ('min_posts', 'window_days'))) = 0 AND coalesce(CAST(activity_rule ->> 'min_posts' AS DOUBLE), 0) >= 0) AS rule_ok, CAST(activity_rule ->> 'min_posts' AS BIGINT) AS min_posts FROM voice_policy",
+    "policy_checks": f"""SELECT voice_group, version, coalesce(list_has_all(keep_functions, workspace_keep_functions), true) AS functions_ok,
+        activity_rule IS NULL OR (json_type(activity_rule) = 'OBJECT' AND list_has_all({_RULE_KEYS}, json_keys(activity_rule)) AND {" AND ".join(_rule_number(k) for k in X.RULE_NUMBERS)}
+        AND (NOT list_contains(json_keys(activity_rule), 'always_include') OR (json_type(activity_rule, '$.always_include') = 'ARRAY' AND list_has_all({X.RULE_ALWAYS}, CAST(json_extract(activity_rule, '$.always_include') AS VARCHAR[]))))) AS rule_ok,
+        CAST(activity_rule ->> 'min_posts' AS BIGINT) AS min_posts FROM voice_policy""",
     "enriched_cube": "SELECT country, year, count(*) AS n, count(*) FILTER (enriched) AS enriched, CAST(grouping(country, year) AS BIGINT) AS level FROM (SELECT coalesce(country, '?') AS country, strftime(created_at, '%Y') AS year, last_enriched_at IS NOT NULL AS enriched FROM leads) GROUP BY CUBE (country, year)",
     "reaction_quantiles": "SELECT poster_lead_id, count(*) AS posts, round(avg(likes), 4) AS mean, round(quantile_cont(likes, 0.5), 4) AS median FROM posts WHERE poster_lead_id IS NOT NULL AND likes IS NOT NULL GROUP BY 1 HAVING count(*) >= 3",
     "search_terms": "SELECT id, current_company, current_title FROM leads WHERE (current_company ILIKE '%analytics%' OR current_company ILIKE '%payments%') AND (current_title ILIKE '%sales%' OR current_title ILIKE '%manager%' OR headline ILIKE '%revenue%')",
     "company_stems": r"WITH c AS (SELECT id, regexp_extract_all(regexp_replace(lower(name), '\(([\p{L}\p{N}_])\)', '\1', 'g'), '([\p{L}\p{N}]+)', 1) AS w FROM companies), k AS (SELECT id, w[1] || ' ' || w[2] AS stem, array_to_string(w, ' ') AS whole FROM c WHERE len(w) >= 2 AND length(w[1]) >= 2 AND length(w[2]) >= 2) SELECT stem, id FROM k WHERE stem IN (SELECT stem FROM k GROUP BY stem HAVING count(DISTINCT whole) >= 2 AND count(DISTINCT id) >= 2)",
     "posting_stats": f"SELECT poster_lead_id, count(*) AS posts, count(*) FILTER (posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 MONTH) AS posts_recent, round(avg(likes), 4) AS mean_reactions, quantile_cont(likes, 0.5) AS median_reactions FROM posts WHERE poster_lead_id IS NOT NULL GROUP BY 1",
-    "company_handles": r"WITH k AS (SELECT id, name, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9& ]+', ' ', 'g'), '\b(?:" + "|".join(N.COMPANY_SUFFIXES) + r")\b', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM companies), w AS (SELECT *, string_split(key, ' ') AS ws, replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS raw FROM k), a AS (SELECT id, [raw, regexp_replace(key, '[ &]+', '-', 'g'), regexp_replace(key, '[ &]+', '', 'g'), array_to_string(ws[1:2], '-'), array_to_string(ws[1:2], ''), ws[1]] AS c FROM w) SELECT id, array_to_string(list_filter(c, lambda x, i: x <> '' AND list_position(c, x) = i), '|') AS handles FROM a",
+    "company_handles": rf"""WITH n AS (SELECT id, coalesce(name, '') AS name, replace(regexp_replace(lower(trim(coalesce(name, ''))), '[''’]', '', 'g'), '-', ' ') AS n FROM companies),
+        v AS (SELECT id, [{_bare("replace(n, '&', ' and ')")}, {_bare("replace(n, '&', ' ')")}, {_squeezed("n")}] AS vs, replace({_squeezed("lower(name)")}, ' ', '-') AS raw FROM n),
+        c AS (SELECT id, list_concat(flatten(list_transform(vs, lambda x: [replace(x, ' ', '-'), replace(x, ' ', ''), CASE WHEN len(string_split(x, ' ')) > 2 THEN array_to_string(string_split(x, ' ')[1:2], '-') END, CASE WHEN len(string_split(x, ' ')) > 2 THEN array_to_string(string_split(x, ' ')[1:2], '') END, CASE WHEN len(string_split(x, ' ')) > 1 THEN string_split(x, ' ')[1] END])), [raw]) AS c FROM v)
+        SELECT id, array_to_string(list_filter(c, lambda x, i: x <> '' AND list_position(c, x) = i)[1:10], '|') AS handles FROM c""",
     "filled_leads": "WITH n AS (SELECT * FROM (SELECT merged_into AS id, headline, bio, city, row_number() OVER (PARTITION BY merged_into ORDER BY updated_at DESC, id DESC) AS rn FROM leads WHERE merged_into IS NOT NULL) WHERE rn = 1) SELECT l.id, CASE WHEN n.id IS NULL THEN l.headline ELSE coalesce(nullif(l.headline, ''), n.headline) END AS headline, CASE WHEN n.id IS NULL THEN l.bio ELSE coalesce(nullif(l.bio, ''), n.bio) END AS bio, CASE WHEN n.id IS NULL THEN l.city ELSE coalesce(nullif(l.city, ''), n.city) END AS city FROM leads l LEFT JOIN n ON n.id = l.id WHERE l.merged_into IS NULL",
     "messages_refetched": "WITH m AS (SELECT DISTINCT conversation_id, provider_message_id, fetched_at FROM lead_messages), n AS (SELECT * FROM m WHERE fetched_at >= TIMESTAMP '2025-06-01 00:00:00'), u AS (SELECT * FROM n UNION ALL SELECT * FROM m WHERE fetched_at < TIMESTAMP '2025-06-01 00:00:00' AND conversation_id NOT IN (SELECT conversation_id FROM n)) SELECT conversation_id, count(*) AS n, max(fetched_at) AS last_at FROM u GROUP BY 1",
     "message_gaps": "WITH m AS (SELECT DISTINCT conversation_id, sent_at, id FROM lead_messages WHERE year(sent_at) > 1970), g AS (SELECT epoch_us(sent_at) - epoch_us(lag(sent_at) OVER (PARTITION BY conversation_id ORDER BY sent_at, id)) AS us FROM m) SELECT CASE WHEN us > 0 THEN CAST(floor(log2(us / 3.6e9)) AS BIGINT) END AS power, count(*) AS n FROM g WHERE us IS NOT NULL GROUP BY 1",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -130,15 +129,25 @@ def supersede(active: DataFrame, new: DataFrame, keys: list[str], at: Column) ->
     return kept.unionByName(fresh)
 
 
-def slug_candidates(name: Column) -> Column:
-    """Handles a company of that name may have: the words run together, joined by `-`, without a legal suffix, the first words alone."""
-    key = N.company_key(name)
-    words = F.split(key, " ")
-    raw = F.regexp_replace(F.trim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " ")), " ", "-")
-    return F.filter(F.array_distinct(F.array(raw, F.regexp_replace(key, "[ &]+", "-"), F.regexp_replace(key, "[ &]+", ""), F.array_join(F.slice(words, 1, 2), "-"), F.array_join(F.slice(words, 1, 2), ""), words[0])), lambda s: s != "")
-
-
-_SLOT = re.compile(r"\{\{\s*([A-Za-z_]\w*(?:\.[A-Za-z_]\w*|\[[^\]]+\])*)\s*\}\}")
+def _slot(text: str) -> tuple[str, str] | None:
+    """(record, JSON path within it) of what stands in a slot: names joined by dots, or keys in brackets; None for anything else."""
+    word = lambda w: w.isidentifier() and w.isascii()
+    rest = text.strip()
+    head = next((rest[:i] for i in range(len(rest)) if rest[i] in ".["), rest)
+    rest, path = rest[len(head):], ""
+    while rest:
+        if rest[0] == ".":
+            part = next((rest[1:i] for i in range(1, len(rest)) if rest[i] in ".["), rest[1:])
+            if not word(part):
+                return None
+            path, rest = f"{path}.{part}", rest[1 + len(part):]
+        elif rest[0] == "[" and "]" in rest[2:]:
+            key = rest[1:rest.index("]", 2)]
+            rest = rest[len(key) + 2:]
+            path += f"[{key.strip()}]" if key.strip().isdigit() else "." + key.strip("'\" ")
+        else:
+            return None
+    return (head, path) if word(head) else None
 
 
 def render(template: str, df: DataFrame, records: dict[str, str]) -> Column:
@@ -146,15 +155,18 @@ def render(template: str, df: DataFrame, records: dict[str, str]) -> Column:
 
     Compiled to one concatenation: a slot is a JSON path into the column of its record.
     """
-    parts, at = [], 0
-    for m in _SLOT.finditer(template):
-        parts.append(F.lit(template[at:m.start()]))
-        head, *rest = re.findall(r"[A-Za-z_]\w*|\[[^\]]+\]", m[1])
+    before, *pieces = template.split("{{")
+    parts = [F.lit(before)]
+    for p in pieces:
+        inner, closed, after = p.partition("}}")
+        slot = _slot(inner) if closed else None
+        if slot is None:
+            parts.append(F.lit("{{" + p))
+            continue
+        head, path = slot
         if head in records:
-            path = "$" + "".join(p if p.startswith("[") and p[1:-1].strip().isdigit() else "." + p.strip("[]'\" ") for p in rest)
-            parts.append(F.coalesce(F.get_json_object(records[head], path) if rest else F.col(records[head]), F.lit("")))
-        at = m.end()
-    parts.append(F.lit(template[at:]))
+            parts.append(F.coalesce(F.get_json_object(records[head], "$" + path) if path else F.col(records[head]), F.lit("")))
+        parts.append(F.lit(after))
     return F.concat(*parts)
 
 

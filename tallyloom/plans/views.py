@@ -77,6 +77,13 @@ def leads_at_companies(leads: DataFrame, companies: DataFrame) -> DataFrame:
     return leads.withColumn("k", U.company_url_key(F.col("current_company_url"))).join(c, "k").select(F.col("id").alias("lead_id"), F.col("linkedin_url").alias("lead_linkedin_url"), F.col("name").alias("lead_name"), "company", "company_name", "company_slug")
 
 
+def related_companies(companies: DataFrame, relationships: DataFrame, relationship: str) -> DataFrame:
+    """Companies in a relationship, with all that is on record about it (scope, source, notes, status, what is wanted of them), by name."""
+    own = [c for c in companies.columns if c not in relationships.columns]
+    r = relationships.where(F.col("relationship") == relationship).drop("relationship")
+    return companies.select(*own).join(r, companies["id"] == r["company_id"]).drop("company_id").orderBy("name", "id")
+
+
 def pipeline_state(leads: DataFrame, sources: DataFrame, q: DataFrame, tags: DataFrame, members: DataFrame, campaigns: DataFrame) -> DataFrame:
     """One row a lead with what every child table knows, each summed up once; null where a table knows nothing."""
     s = sources.groupBy("lead_id").agg(sorted_set("source_type").alias("source_types"), sorted_set("source_label").alias("source_labels"), F.min("recorded_at").alias("first_seen_at"))

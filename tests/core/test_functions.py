@@ -70,8 +70,47 @@ def test_text_and_json(spark):
     assert run(spark, lambda c: X.note_value(c, "not_before"), "a\nnot_before: 2025-02-12\nb") == "2025-02-12"
     assert run(spark, X.canonical_json, '{"b":1,"a":"x"}') == run(spark, X.canonical_json, '{"a":"x","b":"1"}')
     assert run(spark, lambda c: X.json_has_key(c, "k"), '{"k":null}') is True and run(spark, lambda c: X.json_has_key(c, "k"), "no json") is False
-    assert run(spark, lambda c: X.json_numbers_ok(c, ["a"]), '{"a":2}') is True and run(spark, lambda c: X.json_numbers_ok(c, ["a"]), '{"b":2}') is False and run(spark, lambda c: X.json_numbers_ok(c, ["a"]), '{"a":-2}') is False
     assert run(spark, X.without_nul, '{"a":"x\\u0000y"}') == '{"a":"xy"}'
     assert run(spark, X.formatted_none, "Ann None") is True and run(spark, X.formatted_none, "Nonesuch") is False
     assert run(spark, X.is_reshare, '{"author":{"url":"https://x/in/bob"}}', "ann") is True and run(spark, X.is_reshare, "{}", "ann") is False
     assert run(spark, X.campaign_name_ok, "acme_outreach_emea_cfo_202405") is True and run(spark, X.campaign_name_ok, "acme_202413") is False
+
+
+@pytest.mark.parametrize(("title", "company", "ok"), [
+    ("CEO at Acme | Advisor at Beta", "Beta", False), ("CEO at Acme | Advisor at Beta", "Acme Inc", True), ("Board member, Beta - at Acme", "Acme", True), ("CFO@Acme/Beta", "Beta", False), ("Chef (at) home", "Beta", True), ("Head of Chat", "Beta", True), ("Ops at\tBeta; ex Acme", "Beta Group", True), (None, "Beta", True), ("", None, True), ("CEO at Acme", "", True), ("CEO at Acme\nnow elsewhere", "Beta", True),
+])
+def test_title_is_at(spark, title, company, ok):
+    assert run(spark, N.title_is_at, title, company) is ok
+
+
+@pytest.mark.parametrize(("name", "handles"), [
+    ("Ben & Jerry's", ["ben-and-jerrys", "benandjerrys", "ben-and", "benand", "ben", "ben-jerrys", "benjerrys", "ben-&-jerrys", "ben&jerrys", "ben-&"]), ("Acme Planning, Inc.", ["acme-planning", "acmeplanning", "acme", "acme-planning-inc", "acmeplanninginc"]), ("Acme-Widgets LP", ["acme-widgets", "acmewidgets", "acme", "acme-widgets-lp", "acmewidgetslp"]), ("Holdings", ["holdings"]), ("  ", []), (None, []),
+])
+def test_slug_candidates(spark, name, handles):
+    assert run(spark, N.slug_candidates, name) == handles
+
+
+@pytest.mark.parametrize(("rule", "ok"), [
+    (None, True), ("{}", True), ('{"own_posts_90d_min": 5}', True), ('{"own_posts_90d_min": "5"}', False), ('{"own_posts_90d_min": -1}', False), ('{"own_posts_365d_min": 2.5, "always_include": ["founder", "own_asset"]}', True), ('{"always_include": ["founder"]}', True), ('{"always_include": ["x"]}', False), ('{"always_include": "founder"}', False), ('{"always_include": [null]}', False), ('{"always_include": []}', True), ('{"own_posts_90d_min": null}', False), ('{"other": 1}', False), ("null", False), ("[1]", False), ("no json", False),
+])
+def test_activity_rule(spark, rule, ok):
+    assert run(spark, X.activity_rule_ok, rule) is ok
+
+
+@pytest.mark.parametrize(("raw", "poster", "ok"), [
+    ('{"reshared": false}', "ann", False), ('{"reshared": true}', "ann", True), ('{"is_repost": true}', None, True), ('{"author": {"url": "https://x/in/Ann"}}', "ann", False), ('{"author": {"url": "https://x/in/bob"}}', "ann", True), ('{"author": {"url": "https://x/in/bob"}}', "", False), ('{"type": "Repost"}', "ann", True), ('{"type": "post"}', "ann", False), ('{"shared_post": {"id": 1}}', "ann", True), ('{"shared_post": {}}', "ann", False), ('{"repost_urn": ""}', "ann", False), ('{"reposted_post": "urn:x"}', "ann", True), (None, "ann", False),
+])
+def test_reshares(spark, raw, poster, ok):
+    assert run(spark, X.is_reshare, raw, poster) is ok
+
+
+@pytest.mark.parametrize(("name", "ok"), [("srcV1.0_cto_seq_desc_202401", True), ("a_b_c_d_202413", True), ("A_b_c_d_202401", False), ("a_b_c_202401", False), ("a_b_c_d_20240", False), (None, False)])
+def test_campaign_names(spark, name, ok):
+    assert run(spark, X.campaign_name_ok, name) is ok
+
+
+def test_pages(spark):
+    page = "<p>A<br/>b &lt;c&gt;</p><noscript><p>no</p></noscript><svg><g>x</g></svg>d<!-- e --> <script>if (a < b) {}</script>f"
+    assert run(spark, X.visible_text, page) == "A b <c> d f" and run(spark, X.visible_text, None) is None and run(spark, X.visible_text, "") == ""
+    block = '<script type="application/ld+json">{"@graph": [{"@type": "Event", "performer": [{"@type": ["Person"], "name": " Ann B ", "jobTitle": "CTO", "worksFor": {"name": "Acme"}, "sameAs": ["https://x/in/ann"]}, {"@type": "Person", "name": ""}]}]}</script><script type="application/ld+json">{broken</script>'
+    assert [tuple(p) for p in run(spark, X.linked_people, block * 2)] == [("Ann B", "CTO", "Acme", "https://x/in/ann")] and run(spark, X.linked_people, None) == []
