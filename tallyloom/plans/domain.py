@@ -76,7 +76,14 @@ def latest_post(r: Roles) -> DataFrame:
 
 
 def unresolved_posters(r: Roles) -> DataFrame:
-    return views.unresolved_posters(r.raw("posts"))
+    return views.unresolved_posters(r.raw("posts").withColumn("poster_name", F.get_json_object("raw_data", "$.author.name")))
+
+
+def voices(r: Roles) -> DataFrame:
+    """Every company and every lead that posts as a voice."""
+    p, none = r.raw("posts"), F.lit(None).cast("string")
+    t = r.raw("companies").select(F.col("id"), F.col("id").alias("company_id"), none.alias("lead_id")).unionAll(r.raw("leads").join(p.select(F.col("poster_lead_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id"), none.alias("company_id"), F.col("id").alias("lead_id")))
+    return views.voices(t, r.raw("companies"), r.raw("leads"), p)
 
 
 def posts_resolved(r: Roles) -> DataFrame:
@@ -219,7 +226,7 @@ def messages_refetched(r: Roles) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [
-    profile_urls, clean_urls, profile_parts, company_slugs, post_keys, name_keys, company_keys, phone_keys, note_values, tag_namespaces, tags_listed, latest_tag, repeated_tags, latest_post, unresolved_posters, posts_resolved, merge_queue, conflict_kinds, conflict_checks, duplicate_reports,
+    profile_urls, clean_urls, profile_parts, company_slugs, post_keys, name_keys, company_keys, phone_keys, note_values, tag_namespaces, tags_listed, latest_tag, repeated_tags, latest_post, unresolved_posters, voices, posts_resolved, merge_queue, conflict_kinds, conflict_checks, duplicate_reports,
     keepers_by_name, same_name_pairs, company_roots, merged_roots, conversation_rollup, last_message, stale_leads, policy_keywords, policy_checks, enriched_cube, reaction_quantiles, search_terms, message_gaps, company_stems, posting_stats, company_handles, filled_leads, messages_refetched,
 ]}
 
@@ -276,11 +283,12 @@ SQL = {
     "latest_tag": "SELECT lead_id, tag, id, notes, tagged_at FROM (SELECT *, row_number() OVER (PARTITION BY lead_id, tag ORDER BY tagged_at DESC, id DESC) AS rn FROM lead_tags) WHERE rn = 1",
     "repeated_tags": "SELECT lead_id, tag, count(*) AS n FROM lead_tags GROUP BY ALL HAVING count(*) > 1",
     "latest_post": "SELECT post_urn, max(likes) AS likes, max(comments_count) AS comments, (list(post_text ORDER BY id) FILTER (post_text IS NOT NULL))[1] AS text, count(*) AS n FROM posts GROUP BY post_urn",
-    "unresolved_posters": "SELECT poster_linkedin_url, count(*) AS posts, min(posted_at) AS first_posted_at, max(posted_at) AS last_posted_at FROM posts WHERE poster_company_id IS NULL AND poster_lead_id IS NULL GROUP BY 1",
+    "voices": "WITH t AS (SELECT id, id AS company_id, NULL AS lead_id FROM companies UNION ALL SELECT id, NULL, id FROM leads WHERE id IN (SELECT poster_lead_id FROM posts)) SELECT t.id, t.company_id, t.lead_id, CASE WHEN t.lead_id IS NOT NULL THEN 'person' WHEN c.is_showcase THEN 'showcase_page' ELSE 'company_page' END AS kind, coalesce(c.name, l.name) AS name, CASE WHEN t.lead_id IS NOT NULL THEN l.linkedin_url WHEN c.is_showcase THEN 'https://www.linkedin.com/showcase/' || c.linkedin_slug ELSE 'https://www.linkedin.com/company/' || c.linkedin_slug END AS canonical_url, (SELECT count(*) FROM posts p WHERE p.poster_company_id = t.company_id OR p.poster_lead_id = t.lead_id) AS posts_held, (SELECT max(posted_at) FROM posts p WHERE p.poster_company_id = t.company_id OR p.poster_lead_id = t.lead_id) AS last_post_at FROM t LEFT JOIN companies c ON c.id = t.company_id LEFT JOIN leads l ON l.id = t.lead_id",
+    "unresolved_posters": "SELECT poster_linkedin_url, min(raw_data ->> '$.author.name') AS poster_name, count(*) AS posts, min(posted_at) AS first_posted_at, max(posted_at) AS last_posted_at FROM posts WHERE poster_company_id IS NULL AND poster_lead_id IS NULL GROUP BY 1",
     "posts_resolved": rf"""WITH l AS (SELECT {_profile_url('linkedin_url')} AS u, min(id) AS id FROM leads GROUP BY 1), s AS (SELECT linkedin_slug, min(id) AS id FROM companies GROUP BY 1), w AS (SELECT lower(linkedin_slug) AS ls, min(id) AS id FROM companies GROUP BY 1),
         p AS (SELECT id, CASE WHEN regexp_extract(coalesce(poster_linkedin_url, ''), '{_HANDLE}', 1) <> '' THEN {_profile_url('poster_linkedin_url')} END AS u, nullif(regexp_extract(poster_linkedin_url, '/(?:company|showcase|school)/([^/?#\s]+)', 1), '') AS slug FROM posts)
         SELECT p.id, l.id AS resolved_lead_id, coalesce(s.id, w.id) AS resolved_company_id FROM p LEFT JOIN l ON l.u = p.u AND l.u <> '' LEFT JOIN s ON s.linkedin_slug = p.slug LEFT JOIN w ON w.ls = lower(p.slug)""",
-    "merge_queue": "SELECT c.id AS conflict_id, c.kind, c.value, c.owner_lead_id, o.name AS owner_name, o.created_at AS owner_created_at, c.lead_id AS other_lead_id, x.name AS other_name, x.created_at AS other_created_at, c.found_at, c.source FROM lead_identity_conflicts c JOIN leads o ON o.id = c.owner_lead_id AND o.merged_into IS NULL JOIN leads x ON x.id = c.lead_id AND x.merged_into IS NULL WHERE c.resolved_by_merge IS NULL AND c.kind = 'linkedin_urn'",
+    "merge_queue": "SELECT c.id AS conflict_id, c.kind, c.value, c.owner_lead_id, o.name AS owner_name, o.linkedin_url AS owner_url, o.created_at AS owner_created_at, c.lead_id AS other_lead_id, x.name AS other_name, x.linkedin_url AS other_url, x.created_at AS other_created_at, c.found_at, c.source FROM lead_identity_conflicts c JOIN leads o ON o.id = c.owner_lead_id AND o.merged_into IS NULL JOIN leads x ON x.id = c.lead_id AND x.merged_into IS NULL WHERE c.resolved_by_merge IS NULL AND c.kind = 'linkedin_urn'",
     "conflict_kinds": "SELECT kind, count(*) AS n, count(DISTINCT value) AS values, count(*) FILTER (owner_lead_id IS NULL) AS without_owner, count(*) FILTER (resolved_by_merge IS NOT NULL) AS resolved FROM lead_identity_conflicts GROUP BY kind",
     "conflict_checks": f"""SELECT 'not itself' AS rule, (SELECT count(*) FROM lead_identity_conflicts WHERE lead_id = owner_lead_id) AS n_broken
         UNION ALL SELECT 'one row a finding', (SELECT count(*) FROM (SELECT 1 FROM lead_identity_conflicts GROUP BY lead_id, kind, value HAVING count(*) > 1))

@@ -45,6 +45,7 @@ def _leads(r: Roles) -> DataFrame:
     return c.select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("persona"), "company_id", F.col("c_acctbal").alias("score"),
         F.concat(F.lit("https://www.linkedin.example/in/"), F.lower(F.regexp_replace("c_name", "#", "-"))).alias("linkedin_url"),
+        F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.concat(F.lit("Head of "), F.lower("c_mktsegment"))).alias("current_title"), F.concat(F.lit("Supplier "), F.col("company_id")).alias("current_company"),
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.upper(url), F.lit("/"))).otherwise(url).alias("current_company_url"),
     )
 
@@ -59,18 +60,20 @@ def _lead_qualifications(r: Roles) -> DataFrame:
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("lead_id"), F.when(F.col("o_orderkey") % 7 == 0, "policy").otherwise(F.col("o_orderpriority")).alias("qualifier_name"),
         F.when(F.col("o_orderkey") % 7 == 0, "active_deal_dq_v1.0").otherwise(F.concat(F.lit("v"), (F.col("o_orderkey") % 3).cast("string"))).alias("qualifier_version"),
         (F.col("o_orderstatus") == "F").alias("qualified"), F.col("o_orderpriority").alias("persona"), F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("qualified_at"),
+        F.lower("o_orderstatus").alias("seniority"), F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("status "), F.col("o_orderstatus"))).alias("disqualified_reason"), F.concat(F.lit("deal of "), F.col("o_orderpriority")).alias("reason"),
+        F.concat(F.lit('{"open_stage":"'), F.col("o_orderstatus"), F.lit('","deal_companies":["c'), F.col("o_custkey"), F.lit('"]}')).alias("full_result"),
     )
 
 
 def _campaigns(r: Roles) -> DataFrame:
-    return r.raw("supplier").where("s_suppkey < 25").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "linkedin").otherwise("email").alias("channel"))
+    return r.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "linkedin").otherwise("email").alias("channel"))
 
 
 def _campaign_members(r: Roles) -> DataFrame:
-    j = r.raw("lineitem").where("l_quantity >= 48 and l_suppkey < 20").join(r.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = r.raw("lineitem").join(r.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     g = j.groupBy(F.col("o_custkey").alias("lead_id"), F.col("l_suppkey").alias("campaign_id")).agg(F.min("l_shipdate").alias("staged_at"), F.max("l_shipdate").alias("last_status_at"), F.max(F.concat("l_returnflag", "l_linestatus")).alias("code"))
     status = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
-    return g.select("lead_id", "campaign_id", "staged_at", "last_status_at", F.try_element_at(status, F.col("code")).alias("status"))
+    return g.select(F.concat_ws(":", "lead_id", "campaign_id").alias("id"), "lead_id", "campaign_id", "staged_at", F.when(F.col("code") != "NO", F.col("staged_at")).alias("uploaded_at"), "last_status_at", F.try_element_at(status, F.col("code")).alias("status"))
 
 
 def _company_deals(r: Roles) -> DataFrame:
@@ -78,6 +81,7 @@ def _company_deals(r: Roles) -> DataFrame:
     g = j.groupBy(F.col("l_orderkey").alias("deal_id"), F.col("l_suppkey").alias("company_id")).agg(
         F.max(F.col("o_orderstatus") == "O").alias("is_open"), F.max(F.col("o_orderstatus") == "F").alias("is_won"), F.max(F.col("l_returnflag") == "R").alias("is_deleted"), F.sum("l_extendedprice").alias("amount"), F.max("l_shipdate").alias("synced_at"), F.min("l_returnflag").alias("stage_name"),
     )
+    g = g.withColumn("company_name", F.concat(F.lit("Supplier "), F.col("company_id"))).withColumn("match_domain", F.concat(F.lit("s"), F.col("company_id"), F.lit(".example")))
     # deals whose number ends in 9 are known by slug only
     slug = F.concat(F.lit("supplier-"), F.lpad(F.col("company_id").cast("string"), 9, "0"))
     return g.withColumn("match_slug", F.when(F.col("deal_id") % 10 >= 5, slug)).withColumn("company_id", F.when(F.col("deal_id") % 10 != 9, F.col("company_id"))).withColumn("deleted_at", F.when(F.col("is_deleted"), F.col("synced_at")))
@@ -109,7 +113,7 @@ def _memberships(r: Roles) -> DataFrame:
 
 
 def _collectives(r: Roles) -> DataFrame:
-    return r.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent_id"), F.when(F.col("n_nationkey") % 3 == 0, "event").otherwise("group").alias("kind"))
+    return r.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent_id"), F.when(F.col("n_nationkey") % 3 == 0, "event").otherwise("group").alias("kind"), F.concat(F.lit("op"), F.col("n_regionkey")).alias("operator_id"), F.lit("chat").alias("provider"))
 
 
 _BUILD: dict[str, Callable[[Roles], DataFrame]] = {
@@ -120,14 +124,14 @@ _BUILD: dict[str, Callable[[Roles], DataFrame]] = {
 _slug = "'supplier-' || lpad(CAST(company_id AS VARCHAR), 9, '0')"
 SQL = {
     "r_companies": "SELECT s_suppkey AS id, s_name AS name, s_nationkey AS country, lower(replace(s_name, '#', '-')) AS linkedin_slug, 'https://www.linkedin.example/company/' || lower(replace(s_name, '#', '-')) AS linkedin_url FROM supplier",
-    "r_leads": f"""SELECT id, name, country, persona, company_id, score, linkedin_url, CASE WHEN id % 2 = 0 THEN upper(u) || '/' ELSE u END AS current_company_url FROM (
+    "r_leads": f"""SELECT id, name, country, persona, company_id, score, linkedin_url, CASE WHEN persona <> 'HOUSEHOLD' THEN 'Head of ' || lower(persona) END AS current_title, 'Supplier ' || company_id AS current_company, CASE WHEN id % 2 = 0 THEN upper(u) || '/' ELSE u END AS current_company_url FROM (
         SELECT *, 'https://www.linkedin.example/company/' || {_slug} AS u FROM (
         SELECT c_custkey AS id, c_name AS name, c_nationkey AS country, c_mktsegment AS persona, c_custkey % (SELECT count(*) FROM supplier) AS company_id, c_acctbal AS score, 'https://www.linkedin.example/in/' || lower(replace(c_name, '#', '-')) AS linkedin_url FROM customer))""",
     "r_lead_sources": "SELECT o_orderkey AS id, o_custkey AS lead_id, o_orderpriority AS source_type, o_orderstatus AS source_label, o_orderdate AS recorded_at FROM orders",
-    "r_lead_qualifications": "SELECT o_orderkey AS id, o_custkey AS lead_id, CASE WHEN o_orderkey % 7 = 0 THEN 'policy' ELSE o_orderpriority END AS qualifier_name, CASE WHEN o_orderkey % 7 = 0 THEN 'active_deal_dq_v1.0' ELSE 'v' || (o_orderkey % 3) END AS qualifier_version, o_orderstatus = 'F' AS qualified, o_orderpriority AS persona, o_totalprice AS amount, o_orderdate AS qualified_at FROM orders",
-    "r_campaigns": "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'linkedin' ELSE 'email' END AS channel FROM supplier WHERE s_suppkey < 25",
-    "r_campaign_members": "SELECT lead_id, campaign_id, staged_at, last_status_at, CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + " END AS status FROM (SELECT o_custkey AS lead_id, l_suppkey AS campaign_id, min(l_shipdate) AS staged_at, max(l_shipdate) AS last_status_at, max(l_returnflag || l_linestatus) AS code FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 AND l_suppkey < 20 GROUP BY ALL)",
-    "r_company_deals": f"""SELECT deal_id, CASE WHEN deal_id % 10 <> 9 THEN company_id END AS company_id, CASE WHEN deal_id % 10 >= 5 THEN {_slug} END AS match_slug, is_open, is_won, is_deleted, amount, synced_at, stage_name, CASE WHEN is_deleted THEN synced_at END AS deleted_at FROM (
+    "r_lead_qualifications": "SELECT o_orderkey AS id, o_custkey AS lead_id, CASE WHEN o_orderkey % 7 = 0 THEN 'policy' ELSE o_orderpriority END AS qualifier_name, CASE WHEN o_orderkey % 7 = 0 THEN 'active_deal_dq_v1.0' ELSE 'v' || (o_orderkey % 3) END AS qualifier_version, o_orderstatus = 'F' AS qualified, o_orderpriority AS persona, o_totalprice AS amount, o_orderdate AS qualified_at, lower(o_orderstatus) AS seniority, CASE WHEN o_orderstatus <> 'F' THEN 'status ' || o_orderstatus END AS disqualified_reason, 'deal of ' || o_orderpriority AS reason, '{\"open_stage\":\"' || o_orderstatus || '\",\"deal_companies\":[\"c' || o_custkey || '\"]}' AS full_result FROM orders",
+    "r_campaigns": "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'linkedin' ELSE 'email' END AS channel FROM supplier",
+    "r_campaign_members": "SELECT lead_id || ':' || campaign_id AS id, lead_id, campaign_id, staged_at, CASE WHEN code <> 'NO' THEN staged_at END AS uploaded_at, last_status_at, CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + " END AS status FROM (SELECT o_custkey AS lead_id, l_suppkey AS campaign_id, min(l_shipdate) AS staged_at, max(l_shipdate) AS last_status_at, max(l_returnflag || l_linestatus) AS code FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)",
+    "r_company_deals": f"""SELECT deal_id, CASE WHEN deal_id % 10 <> 9 THEN company_id END AS company_id, CASE WHEN deal_id % 10 >= 5 THEN {_slug} END AS match_slug, 'Supplier ' || company_id AS company_name, 's' || company_id || '.example' AS match_domain, is_open, is_won, is_deleted, amount, synced_at, stage_name, CASE WHEN is_deleted THEN synced_at END AS deleted_at FROM (
         SELECT l_orderkey AS deal_id, l_suppkey AS company_id, bool_or(o_orderstatus = 'O') AS is_open, bool_or(o_orderstatus = 'F') AS is_won, bool_or(l_returnflag = 'R') AS is_deleted, sum(l_extendedprice) AS amount, max(l_shipdate) AS synced_at, min(l_returnflag) AS stage_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)""",
     "r_posts": "SELECT p_partkey AS id, p_brand AS poster, p_partkey % 40 AS poster_lead_id, p_size AS likes, p_type AS kind FROM part",
     "r_post_engagements": "SELECT event_id AS id, user_id AS lead_id, CAST(props ->> 'k' AS BIGINT) AS post_id, event_type AS engagement_type, ts AS at FROM events",
@@ -135,7 +139,7 @@ SQL = {
     "r_enrichment_calls": "SELECT event_id AS id, event_type AS api, props AS params, event_type <> 'error' AS success, value AS cost, ts AS fetched_at FROM events",
     "r_star_tags": "SELECT user_id AS lead_id, event_type AS tag, max(ts) AS tagged_at FROM events GROUP BY ALL",
     "r_memberships": "SELECT c_custkey AS id, c_nationkey AS collective_id, 'customer' AS member_kind, CAST(c_custkey AS VARCHAR) AS member_value, CASE WHEN c_acctbal < 0 THEN 'left' ELSE 'member' END AS member_state, CASE WHEN c_custkey % 5 = 0 THEN 'host' ELSE 'guest' END AS role FROM customer",
-    "r_collectives": "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS parent_id, CASE WHEN n_nationkey % 3 = 0 THEN 'event' ELSE 'group' END AS kind FROM nation",
+    "r_collectives": "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS parent_id, CASE WHEN n_nationkey % 3 = 0 THEN 'event' ELSE 'group' END AS kind, 'op' || n_regionkey AS operator_id, 'chat' AS provider FROM nation",
 }
 
 

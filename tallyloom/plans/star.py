@@ -11,9 +11,9 @@ from tallyloom.plans import views
 from tallyloom.plans.roles import AS_OF, Roles, with_roles
 
 _CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY qualified_at DESC, id DESC) AS rn FROM r_lead_qualifications) WHERE rn = 1)"
-_AT = "k AS (SELECT l.id AS lead_id, l.linkedin_url, l.name, c.id AS company, c.name AS company_name, c.linkedin_slug FROM r_leads l JOIN r_companies c ON regexp_replace(lower(l.current_company_url), '/+$', '') = regexp_replace(lower(c.linkedin_url), '/+$', ''))"
+_AT = "k AS (SELECT l.id AS lead_id, l.linkedin_url, l.name, l.current_title, c.id AS company, c.name AS company_name, c.linkedin_slug FROM r_leads l JOIN r_companies c ON regexp_replace(lower(l.current_company_url), '/+$', '') = regexp_replace(lower(c.linkedin_url), '/+$', ''))"
 _NOT_OVER = "('completed', 'removed_blocked', 'removed_other')"
-_ROLLUP = "string_agg(DISTINCT {0}, ',' ORDER BY {0})"
+_ROLLUP = "string_agg(DISTINCT coalesce({0}, '~'), ',' ORDER BY coalesce({0}, '~'))"
 
 
 def current_qualification(r: Roles) -> DataFrame:
@@ -37,11 +37,12 @@ def replied(r: Roles) -> DataFrame:
 
 
 def qualified_no_campaign(r: Roles) -> DataFrame:
-    return views.qualified_no_campaign(r["lead_qualifications"], r["leads"], r["campaign_members"])
+    """Qualified leads without an upload in flight; every lead has some membership."""
+    return views.qualified_no_campaign(r["lead_qualifications"], r["leads"], r["campaign_members"].where("status = 'uploaded'"))
 
 
 def provenance(r: Roles) -> DataFrame:
-    return views.provenance(r["leads"], r["lead_sources"])
+    return views.provenance(r["leads"], r["lead_sources"]).withColumns({c: views.as_text(c) for c in ("source_types", "source_labels")})
 
 
 def campaign_funnel(r: Roles) -> DataFrame:
@@ -53,7 +54,8 @@ def leads_at_companies(r: Roles) -> DataFrame:
 
 
 def pipeline_state(r: Roles) -> DataFrame:
-    return views.pipeline_state(r["leads"], r["lead_sources"], r["lead_qualifications"], r["star_tags"], r["campaign_members"], r["campaigns"])
+    out = views.pipeline_state(r["leads"], r["lead_sources"], r["lead_qualifications"], r["star_tags"], r["campaign_members"], r["campaigns"])
+    return out.withColumns({c: views.as_text(c) for c in ("source_types", "source_labels", "tags", "active_campaigns")})
 
 
 def engager_report(r: Roles) -> DataFrame:
@@ -61,7 +63,7 @@ def engager_report(r: Roles) -> DataFrame:
 
 
 def pending_removals(r: Roles) -> DataFrame:
-    return views.pending_removals(r["campaign_members"], r["lead_qualifications"])
+    return views.pending_removals(r["campaign_members"], r["lead_qualifications"], r["leads"], r["campaigns"])
 
 
 def upcoming_meeting(r: Roles) -> DataFrame:
@@ -70,11 +72,11 @@ def upcoming_meeting(r: Roles) -> DataFrame:
 
 
 def deal_leads(r: Roles) -> DataFrame:
-    return views.deal_leads(r["leads"], r["companies"], r["company_deals"])
+    return views.deal_leads(r["leads"], r["companies"], r["company_deals"]).withColumns({c: views.as_text(c) for c in ("deal_ids", "deal_companies")})
 
 
 def active_deal_companies(r: Roles) -> DataFrame:
-    return views.active_deal_companies(r["company_deals"])
+    return views.active_deal_companies(r["company_deals"]).withColumn("deal_ids", views.as_text("deal_ids"))
 
 
 def deleted_deals(r: Roles) -> DataFrame:
@@ -82,49 +84,42 @@ def deleted_deals(r: Roles) -> DataFrame:
 
 
 def held_by_policy(r: Roles) -> DataFrame:
-    return views.held_by_policy(r["lead_qualifications"], "policy", "active_deal_dq_v1.0")
+    return views.held_by_policy(r["lead_qualifications"], r["leads"], "policy", "active_deal_dq_v1.0")
+
+
+def _related(r: Roles) -> DataFrame:
+    return r["companies"].select(F.col("id").alias("company_id"), F.when(F.col("id") % 3 == 0, "competitor").otherwise("partner").alias("relationship"), F.concat(F.lit("scope-"), F.col("country")).alias("scope"), F.lit("list").alias("source"), F.lit(None).cast("string").alias("notes"))
+
+
+def leads_at_competitors(r: Roles) -> DataFrame:
+    return views.leads_at_related(r["leads"], r["companies"], _related(r), "competitor")
 
 
 def vendor_customers(r: Roles) -> DataFrame:
     l = r.raw("lineitem").select(F.col("l_suppkey").alias("vendor"), (F.col("l_partkey") % 10).alias("customer")).groupBy("vendor", "customer").agg(F.count("*").alias("n"))
-    return views.vendor_customers(l, r["companies"])
+    return views.vendor_customers(l, r["companies"], _related(r))
 
 
 def latest_signal_null_equal(r: Roles) -> DataFrame:
     return views.latest_signal(r["signals"], ["lead_id", "enricher_name"])
 
 
-def _monitoring_conflicts(r: Roles, companies: DataFrame) -> DataFrame:
-    src = r["lead_sources"].select("lead_id", F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("lead_id") % 7).cast("string"), 9, "0"), F.lit(" staff")).alias("label"))
-    c = companies.withColumn("name", F.upper("name"))
-    return views.monitoring_conflicts(c, src, "label", F.col("id") % 2 == 0).select("id", "name", "reps_held", "conflict")
-
-
 def monitoring_conflicts(r: Roles) -> DataFrame:
-    return _monitoring_conflicts(r, r["companies"].where("id < 20"))
-
-
-def monitoring_conflicts_whole(r: Roles) -> DataFrame:
-    """All companies; without SQL, as are the other queries over whole target tables (`_whole`)."""
-    return _monitoring_conflicts(r, r["companies"])
+    src = r["lead_sources"].select("lead_id", F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("lead_id") % 7).cast("string"), 9, "0"), F.lit(" staff")).alias("label"))
+    c = r["companies"].withColumn("name", F.upper("name"))
+    decided = r["lead_qualifications"].select(F.col("lead_id").alias("company_id"), F.col("qualifier_name").alias("value"), "reason", F.lit("op").alias("decided_by"), F.col("qualified_at").alias("decided_at"), "id")
+    return views.monitoring_conflicts(c, src, "label", F.col("id") % 2 == 0, decided).drop("country", "linkedin_slug", "linkedin_url", "wanted")
 
 
-def _target_posts(r: Roles, leads: DataFrame) -> DataFrame:
-    targets = leads.select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("lead_id"), F.when(F.col("id") % 2 == 1, F.col("id")).alias("company_id"))
+def target_posts(r: Roles) -> DataFrame:
+    targets = r["leads"].select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("lead_id"), F.when(F.col("id") % 2 == 1, F.col("id")).alias("company_id"))
     posts = r["posts"].select("id", F.when(F.col("id") % 3 != 0, F.col("poster_lead_id")).alias("poster_lead_id"), F.when(F.col("id") % 3 == 0, F.col("poster_lead_id")).alias("poster_company_id"), F.timestamp_seconds(F.col("id") * 1000).cast("timestamp_ntz").alias("posted_at"))
     return views.target_posts(targets, posts)
 
 
-def target_posts(r: Roles) -> DataFrame:
-    return _target_posts(r, r["leads"].where("id < 60"))
-
-
-def target_posts_whole(r: Roles) -> DataFrame:
-    return _target_posts(r, r["leads"])
-
-
 def collective_members(r: Roles) -> DataFrame:
-    ids = r["leads"].where("id % 4 <> 0").select(F.lit("customer").alias("kind"), F.col("id").cast("string").alias("value"), F.col("id").alias("lead_id"))
+    """Guests have an identity on file, hosts have none."""
+    ids = r["memberships"].where("role = 'guest'").select(F.col("member_kind").alias("kind"), F.col("member_value").alias("value"), F.col("id").alias("lead_id"))
     return views.collective_members(r["memberships"], r["collectives"], ids)
 
 
@@ -132,20 +127,12 @@ def small_group_ties(r: Roles) -> DataFrame:
     return views.small_group_ties(collective_members(r), 60)
 
 
-def _match_states(r: Roles, leads: DataFrame) -> DataFrame:
-    m = leads.select(F.lit("a").alias("a_kind"), F.col("id").alias("a_value"), F.lit("b").alias("b_kind"), (F.col("id") % 50).alias("b_value"), F.when(F.col("id") % 9 == 0, F.lit("x")).alias("rejected_at"))
+def match_states(r: Roles) -> DataFrame:
+    m = r["leads"].select(F.lit("a").alias("a_kind"), F.col("id").alias("a_value"), F.lit("b").alias("b_kind"), (F.col("id") % 50).alias("b_value"), F.when(F.col("id") % 9 == 0, F.lit("x")).alias("rejected_at"))
     i = r["leads"].select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"), F.col("id").alias("value"), (F.col("id") % 10).alias("lead_id"))
     return views.match_states(m, i)
 
 
-def match_states(r: Roles) -> DataFrame:
-    return _match_states(r, r["leads"].where("id < 300"))
-
-
-def match_states_whole(r: Roles) -> DataFrame:
-    return _match_states(r, r["leads"])
-
-
 def hierarchy_root(r: Roles) -> DataFrame:
     """Nations hang below their region's first nation, those below nation 0."""
     n = r["collectives"].select("id", F.when(F.col("id") > 4, F.col("parent_id")).when(F.col("id") > 0, F.lit(0)).alias("up"))
@@ -317,20 +304,12 @@ def rules_classifier(r: Roles) -> DataFrame:
     return rules.classify(r["leads"], spec, ["qualified", "reason"]).select("id", "qualified", "reason")
 
 
-def _sql_classifier(r: Roles, leads: DataFrame) -> DataFrame:
-    targets = leads.select(F.col("id").alias("lead_id"))
+def sql_classifier(r: Roles) -> DataFrame:
+    targets = r["leads"].select(F.col("id").alias("lead_id"))
     q = "SELECT t.lead_id, count(q.id) > 5 AS qualified, count(q.id) AS n FROM target_leads t LEFT JOIN verdicts q ON q.lead_id = t.lead_id AND q.qualified GROUP BY t.lead_id"
     return rules.classify_by_sql(r.spark, targets, q, {"verdicts": r["lead_qualifications"]})
 
 
-def sql_classifier(r: Roles) -> DataFrame:
-    return _sql_classifier(r, r["leads"].where("id % 2 = 0"))
-
-
-def sql_classifier_whole(r: Roles) -> DataFrame:
-    return _sql_classifier(r, r["leads"])
-
-
 def unclassified_leads(r: Roles) -> DataFrame:
     return rules.unclassified(r["leads"].select(F.col("id").alias("lead_id"), "name"), r["lead_qualifications"], "1-URGENT", "v1")
 
@@ -339,7 +318,7 @@ def constraint_violations(r: Roles) -> DataFrame:
     li, o = r.raw("lineitem"), r.raw("orders")
     return checks.counts({
         "unique line": checks.repeated_keys(li, ["l_orderkey", "l_linenumber"]),
-        "order of a known lead": checks.orphans(o.where("o_orderkey % 2 = 0"), "o_custkey", r["leads"].where("id % 3 <> 0"), "id"),
+        "order of a known lead": checks.orphans(o, "o_custkey", r["leads"].where("score >= 0"), "id"),
         "known status": checks.outside_domain(o, "o_orderstatus", ["F", "O"]),
         "priced": checks.not_positive(li.withColumn("x", F.col("l_quantity") - 3), "x"),
         "returned is finished": checks.not_implied(li, F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"),
@@ -384,45 +363,46 @@ QUERIES = {f.__name__: f for f in [
     deleted_deals, held_by_policy, vendor_customers, latest_signal_null_equal, monitoring_conflicts, target_posts, collective_members, small_group_ties, match_states, hierarchy_root, any_key_matches, prefix_matches, overlapping_periods, no_verdict_not_in, semi_and_anti,
     missing_engagement, tag_pivot, first_known_values, most_common_source, first_by_order, top_per_company, first_by_list_order, group_hold, having_gap, relationship_score, cache_latest_success, usage_by_day, json_key_exists, set_operations, upsert_fill, upsert_counts,
     append_if_absent, reconcile_deleted, status_history, membership_change_log, tag_removals, departures, array_union_upsert, rules_classifier, sql_classifier, unclassified_leads, constraint_violations, claims_settled, keeper_choice, frequent_engagers, distinct_two_sided,
-    monitoring_conflicts_whole, target_posts_whole, match_states_whole, sql_classifier_whole,
+    leads_at_competitors,
 ]}
 
-_MEMBER = "m AS (SELECT m.*, l.name, l.country, l.linkedin_url, c.name AS campaign, c.channel FROM r_campaign_members m JOIN r_leads l ON l.id = m.lead_id JOIN r_campaigns c ON c.id = m.campaign_id)"
+_MEMBER = "m AS (SELECT m.*, l.name, l.current_title, l.current_company, l.country, l.linkedin_url, c.name AS campaign, c.channel FROM r_campaign_members m JOIN r_leads l ON l.id = m.lead_id JOIN r_campaigns c ON c.id = m.campaign_id)"
 _SCORE = "s AS (SELECT lead_id, CAST(count(*) AS BIGINT) AS score FROM (SELECT lead_id FROM r_lead_sources UNION ALL SELECT lead_id FROM r_post_engagements UNION ALL SELECT lead_id FROM r_campaign_members UNION ALL SELECT lead_id FROM r_star_tags WHERE tag <> 'error') WHERE lead_id IS NOT NULL GROUP BY lead_id)"
-_CM = "cm AS (SELECT m.id AS membership_id, m.collective_id, c.kind, c.name AS collective_name, c.parent_id, CASE WHEN m.id % 4 <> 0 THEN m.id END AS lead_id, m.member_kind, m.member_value, m.role, m.member_state FROM r_memberships m JOIN r_collectives c ON c.id = m.collective_id)"
+_CM = "cm AS (SELECT m.id AS membership_id, m.collective_id, c.kind, c.name AS collective_name, c.parent_id, c.operator_id, c.provider, CASE WHEN m.role = 'guest' THEN m.id END AS lead_id, m.member_kind, m.member_value, m.role, m.member_state FROM r_memberships m JOIN r_collectives c ON c.id = m.collective_id)"
 _SQL = {
     "current_qualification": f"WITH {_CURRENT} SELECT * EXCLUDE (rn) FROM cur",
     "current_per_qualifier": "SELECT lead_id, qualifier_name, qualified, qualified_at, id FROM (SELECT *, row_number() OVER (PARTITION BY lead_id, qualifier_name ORDER BY qualified_at DESC, id DESC) AS rn FROM r_lead_qualifications) WHERE rn = 1",
-    "in_campaign": f"WITH {_MEMBER} SELECT lead_id, name, country, campaign, channel, status AS campaign_status, last_status_at, staged_at FROM m WHERE status NOT IN {_NOT_OVER}",
-    "staged_for_upload": f"WITH {_MEMBER} SELECT lead_id, name, linkedin_url, country, campaign, channel, staged_at FROM m WHERE status = 'staged'",
-    "replied": f"WITH {_MEMBER} SELECT lead_id, name, linkedin_url, campaign, last_status_at AS replied_at FROM m WHERE status IN ('replied', 'meeting_booked')",
-    "qualified_no_campaign": f"WITH {_CURRENT} SELECT cur.lead_id, l.name, l.country, cur.persona, qualifier_version, qualified_at FROM cur JOIN r_leads l ON l.id = cur.lead_id WHERE qualified AND NOT EXISTS (SELECT 1 FROM r_campaign_members m WHERE m.lead_id = cur.lead_id AND m.status NOT IN ('removed_blocked', 'removed_other'))",
+    "in_campaign": f"WITH {_MEMBER} SELECT lead_id, name, current_title, current_company, country, campaign, channel, status AS campaign_status, last_status_at, uploaded_at, staged_at FROM m WHERE status NOT IN {_NOT_OVER}",
+    "staged_for_upload": f"WITH {_MEMBER} SELECT lead_id, name, current_title, current_company, linkedin_url, country, campaign, channel, staged_at FROM m WHERE status = 'staged'",
+    "replied": f"WITH {_MEMBER} SELECT lead_id, name, current_title, current_company, linkedin_url, campaign, last_status_at AS replied_at FROM m WHERE status IN ('replied', 'meeting_booked')",
+    "qualified_no_campaign": f"WITH {_CURRENT} SELECT cur.lead_id, l.name, l.current_title, l.current_company, l.country, cur.persona, cur.seniority, qualifier_version, qualified_at FROM cur JOIN r_leads l ON l.id = cur.lead_id WHERE qualified AND NOT EXISTS (SELECT 1 FROM r_campaign_members m WHERE m.lead_id = cur.lead_id AND m.status = 'uploaded')",
     "provenance": f"SELECT l.id AS lead_id, l.name, l.linkedin_url, {_ROLLUP.format('source_type')} AS source_types, {_ROLLUP.format('source_label')} AS source_labels, min(recorded_at) AS first_seen_at, max(recorded_at) AS last_seen_at, count(*) AS source_count FROM r_leads l LEFT JOIN r_lead_sources s ON s.lead_id = l.id GROUP BY ALL",
     "campaign_funnel": "SELECT c.name AS campaign, c.channel, m.status, count(*) AS n FROM r_campaigns c LEFT JOIN r_campaign_members m ON m.campaign_id = c.id GROUP BY ALL",
-    "leads_at_companies": f"WITH {_AT} SELECT lead_id, linkedin_url AS lead_linkedin_url, name AS lead_name, company, company_name, linkedin_slug AS company_slug FROM k",
-    "pipeline_state": f"""WITH {_CURRENT} SELECT l.id AS lead_id, l.name, l.linkedin_url, l.country,
+    "leads_at_companies": f"WITH {_AT} SELECT lead_id, linkedin_url AS lead_linkedin_url, name AS lead_name, current_title, company, company_name, linkedin_slug AS company_slug FROM k",
+    "pipeline_state": f"""WITH {_CURRENT} SELECT l.id AS lead_id, l.name, l.linkedin_url, l.current_title, l.current_company, l.country,
         (SELECT {_ROLLUP.format('source_type')} FROM r_lead_sources s WHERE s.lead_id = l.id) AS source_types, (SELECT {_ROLLUP.format('source_label')} FROM r_lead_sources s WHERE s.lead_id = l.id) AS source_labels,
         (SELECT min(recorded_at) FROM r_lead_sources s WHERE s.lead_id = l.id) AS first_seen_at, (SELECT {_ROLLUP.format('tag')} FROM r_star_tags t WHERE t.lead_id = l.id) AS tags,
         cur.qualifier_name, cur.qualifier_version, cur.qualified, cur.persona AS verdict_persona, cur.qualified_at,
         (SELECT {_ROLLUP.format('c.name')} FROM r_campaign_members m JOIN r_campaigns c ON c.id = m.campaign_id WHERE m.lead_id = l.id AND m.status NOT IN {_NOT_OVER}) AS active_campaigns
         FROM r_leads l LEFT JOIN cur ON cur.lead_id = l.id""",
-    "engager_report": "SELECT p.poster_lead_id, t.name AS poster_name, coalesce(e.persona, '(unqualified)') AS engager_persona, count(DISTINCT pe.lead_id) AS engager_count, count(DISTINCT p.id) AS posts_engaged FROM r_posts p JOIN r_leads t ON t.id = p.poster_lead_id JOIN r_post_engagements pe ON pe.post_id = p.id JOIN r_leads e ON e.id = pe.lead_id WHERE pe.lead_id <> p.poster_lead_id GROUP BY p.poster_lead_id, t.name, e.persona",
-    "pending_removals": f"WITH {_CURRENT} SELECT m.lead_id, m.campaign_id, m.status, cur.qualified, cur.persona, cur.qualified_at, CASE WHEN m.status = 'pending_removal' THEN 'manual' ELSE 'auto' END AS removal_source FROM r_campaign_members m LEFT JOIN cur ON cur.lead_id = m.lead_id WHERE m.status = 'pending_removal' OR (m.status IN ('staged', 'uploaded', 'connection_sent', 'connected', 'message_sent') AND cur.qualified IS FALSE)",
+    "engager_report": "SELECT p.poster_lead_id, t.name AS poster_name, t.linkedin_url AS poster_linkedin_url, coalesce(e.persona, '(unqualified)') AS engager_persona, count(DISTINCT pe.lead_id) AS engager_count, count(DISTINCT p.id) AS posts_engaged FROM r_posts p JOIN r_leads t ON t.id = p.poster_lead_id JOIN r_post_engagements pe ON pe.post_id = p.id JOIN r_leads e ON e.id = pe.lead_id WHERE pe.lead_id <> p.poster_lead_id GROUP BY p.poster_lead_id, t.name, t.linkedin_url, e.persona",
+    "pending_removals": f"WITH {_CURRENT} SELECT m.id AS campaign_member_id, m.lead_id, m.campaign_id, m.status, m.uploaded_at, m.last_status_at, l.linkedin_url, l.name AS lead_name, c.name AS campaign_name, cur.qualified, cur.persona, cur.disqualified_reason, cur.qualifier_name, cur.qualifier_version, cur.qualified_at, CASE WHEN m.status = 'pending_removal' THEN 'manual' ELSE 'auto' END AS removal_source FROM r_campaign_members m JOIN r_leads l ON l.id = m.lead_id JOIN r_campaigns c ON c.id = m.campaign_id LEFT JOIN cur ON cur.lead_id = m.lead_id WHERE m.status = 'pending_removal' OR (m.status IN ('staged', 'uploaded', 'connection_sent', 'connected', 'message_sent') AND cur.qualified IS FALSE)",
     "upcoming_meeting": f"SELECT o_custkey AS lead_id, o_orderkey AS id, o_orderdate AS scheduled_at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate >= TIMESTAMP '{AS_OF}') WHERE rn = 1",
     "deal_leads": f"""WITH {_AT}, d AS (SELECT * FROM r_company_deals WHERE is_open OR is_won), h AS (
-        SELECT k.lead_id, d.deal_id, d.is_won, d.is_open, d.is_deleted, d.stage_name FROM k JOIN d ON d.company_id = k.company
-        UNION SELECT k.lead_id, d.deal_id, d.is_won, d.is_open, d.is_deleted, d.stage_name FROM k JOIN d ON d.match_slug = k.linkedin_slug)
-        SELECT lead_id, bool_or(is_won) AS is_customer, bool_or(is_open) AS has_open_deal, bool_or(is_deleted) AS has_deleted_deal, max(stage_name) FILTER (WHERE is_open) AS open_stage, count(DISTINCT deal_id) AS n_deals, min(deal_id) AS first_deal FROM h GROUP BY lead_id""",
-    "active_deal_companies": "SELECT company_id, match_slug, bool_or(is_won) AS is_customer, bool_or(is_open) AS has_open_deal, bool_or(is_deleted) AS has_deleted_deal, max(stage_name) FILTER (WHERE is_open) AS open_stage, count(*) AS n_deals, max(synced_at) AS last_synced_at FROM r_company_deals WHERE is_open OR is_won GROUP BY company_id, match_slug",
-    "deleted_deals": "SELECT deal_id, company_id, match_slug, stage_name, is_open, is_won, deleted_at FROM r_company_deals WHERE is_deleted AND (is_open OR is_won)",
-    "held_by_policy": f"WITH {_CURRENT}, real AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY qualified_at DESC, id DESC) AS rn FROM r_lead_qualifications WHERE qualifier_name <> 'policy') WHERE rn = 1 AND qualified) SELECT cur.lead_id, cur.qualified_at AS held_since, real.persona AS would_be_persona, real.qualifier_name AS real_qualifier, real.qualifier_version AS real_qualifier_version FROM cur JOIN real USING (lead_id) WHERE cur.qualifier_name = 'policy' AND cur.qualifier_version = 'active_deal_dq_v1.0' AND NOT cur.qualified",
-    "vendor_customers": "SELECT v.vendor, v.customer, v.n, c.name AS customer_name, w.name AS vendor_name FROM (SELECT l_suppkey AS vendor, l_partkey % 10 AS customer, count(*) AS n FROM lineitem GROUP BY ALL) v JOIN r_companies c ON c.id = v.customer JOIN r_companies w ON w.id = v.vendor",
+        SELECT k.lead_id, k.linkedin_url, k.name, k.current_title, d.company_name, d.deal_id, d.is_won, d.is_open, d.is_deleted, d.stage_name FROM k JOIN d ON d.company_id = k.company
+        UNION SELECT k.lead_id, k.linkedin_url, k.name, k.current_title, d.company_name, d.deal_id, d.is_won, d.is_open, d.is_deleted, d.stage_name FROM k JOIN d ON d.match_slug = k.linkedin_slug)
+        SELECT lead_id, linkedin_url, name, current_title, bool_or(is_won) AS is_customer, bool_or(is_open) AS has_open_deal, bool_or(is_deleted) AS has_deleted_deal, max(stage_name) FILTER (WHERE is_open) AS open_stage, string_agg(DISTINCT deal_id, ',' ORDER BY deal_id) AS deal_ids, string_agg(DISTINCT company_name, ',' ORDER BY company_name) AS deal_companies FROM h GROUP BY ALL""",
+    "active_deal_companies": "SELECT company_id, match_slug, max(company_name) AS company_name, bool_or(is_won) AS is_customer, bool_or(is_open) AS has_open_deal, bool_or(is_deleted) AS has_deleted_deal, max(stage_name) FILTER (WHERE is_open) AS open_stage, string_agg(DISTINCT deal_id, ',' ORDER BY deal_id) AS deal_ids, max(synced_at) AS last_synced_at FROM r_company_deals WHERE is_open OR is_won GROUP BY company_id, match_slug",
+    "deleted_deals": "SELECT deal_id, company_id, company_name, match_slug, match_domain, stage_name, is_open, is_won, amount, deleted_at, synced_at FROM r_company_deals WHERE is_deleted AND (is_open OR is_won)",
+    "held_by_policy": f"WITH {_CURRENT}, real AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY qualified_at DESC, id DESC) AS rn FROM r_lead_qualifications WHERE qualifier_name <> 'policy') WHERE rn = 1 AND qualified) SELECT cur.lead_id, l.linkedin_url, l.name, l.current_title, l.current_company, cur.reason AS deal_reason, CAST(cur.full_result -> '$.deal_companies' AS VARCHAR) AS deal_companies, cur.full_result ->> '$.open_stage' AS open_stage, cur.qualified_at AS held_since, real.persona AS would_be_persona, real.qualifier_name AS real_qualifier, real.qualifier_version AS real_qualifier_version FROM cur JOIN real USING (lead_id) JOIN r_leads l ON l.id = cur.lead_id WHERE cur.qualifier_name = 'policy' AND cur.qualifier_version = 'active_deal_dq_v1.0' AND NOT cur.qualified",
+    "leads_at_competitors": f"WITH {_AT} SELECT k.lead_id, k.linkedin_url AS lead_linkedin_url, k.name AS lead_name, k.current_title, k.company AS company_id, k.company_name, k.linkedin_slug AS company_slug, 'scope-' || c.country AS related_scope, 'list' AS tag_source, CAST(NULL AS VARCHAR) AS related_notes FROM k JOIN r_companies c ON c.id = k.company WHERE c.id % 3 = 0",
+    "vendor_customers": "SELECT v.vendor, v.customer, v.n, c.name AS customer_name, c.linkedin_url AS customer_linkedin_url, w.name AS vendor_name, CASE WHEN w.id % 3 = 0 THEN 'scope-' || w.country END AS vendor_scope FROM (SELECT l_suppkey AS vendor, l_partkey % 10 AS customer, count(*) AS n FROM lineitem GROUP BY ALL) v JOIN r_companies c ON c.id = v.customer JOIN r_companies w ON w.id = v.vendor",
     "latest_signal_null_equal": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lead_id, enricher_name ORDER BY enriched_at DESC, id DESC) AS rn FROM r_signals) WHERE rn = 1",
-    "monitoring_conflicts": "WITH c AS (SELECT id, upper(name) AS name FROM r_companies WHERE id < 20), s AS (SELECT lead_id, 'SUPPLIER#' || lpad(CAST(lead_id % 7 AS VARCHAR), 9, '0') || ' staff' AS label FROM r_lead_sources), h AS (SELECT c.id, c.name, (SELECT count(DISTINCT lead_id) FROM s WHERE s.label LIKE c.name || '%') AS reps_held FROM c) SELECT id, name, reps_held, CASE WHEN id % 2 = 0 AND reps_held = 0 THEN 'wanted_but_empty' WHEN id % 2 <> 0 AND reps_held > 0 THEN 'held_but_unwanted' END AS conflict FROM h",
-    "target_posts": "WITH t AS (SELECT id, CASE WHEN id % 2 = 0 THEN id END AS lead_id, CASE WHEN id % 2 = 1 THEN id END AS company_id FROM r_leads WHERE id < 60), p AS (SELECT id, CASE WHEN id % 3 <> 0 THEN poster_lead_id END AS poster_lead_id, CASE WHEN id % 3 = 0 THEN poster_lead_id END AS poster_company_id, make_timestamp(id * 1000000000) AS posted_at FROM r_posts) SELECT t.*, (SELECT count(*) FROM p WHERE p.poster_lead_id = t.lead_id OR p.poster_company_id = t.company_id) AS posts_held, (SELECT max(posted_at) FROM p WHERE p.poster_lead_id = t.lead_id OR p.poster_company_id = t.company_id) AS last_post_at FROM t",
+    "monitoring_conflicts": "WITH c AS (SELECT id, upper(name) AS name FROM r_companies), d AS (SELECT * FROM r_lead_qualifications QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY qualified_at DESC, id DESC) = 1), s AS (SELECT lead_id, 'SUPPLIER#' || lpad(CAST(lead_id % 7 AS VARCHAR), 9, '0') || ' staff' AS label FROM r_lead_sources), h AS (SELECT c.id, c.name, (SELECT count(DISTINCT lead_id) FROM s WHERE s.label LIKE c.name || '%') AS reps_held FROM c) SELECT h.id, h.name, reps_held, CASE WHEN h.id % 2 = 0 AND reps_held = 0 THEN 'wanted_but_empty' WHEN h.id % 2 <> 0 AND reps_held > 0 THEN 'held_but_unwanted' END AS conflict, d.qualifier_name AS monitoring_decision, d.reason AS monitoring_reason, CASE WHEN d.lead_id IS NOT NULL THEN 'op' END AS monitoring_decided_by, d.qualified_at AS monitoring_decided_at FROM h LEFT JOIN d ON d.lead_id = h.id",
+    "target_posts": "WITH t AS (SELECT id, CASE WHEN id % 2 = 0 THEN id END AS lead_id, CASE WHEN id % 2 = 1 THEN id END AS company_id FROM r_leads), p AS (SELECT id, CASE WHEN id % 3 <> 0 THEN poster_lead_id END AS poster_lead_id, CASE WHEN id % 3 = 0 THEN poster_lead_id END AS poster_company_id, make_timestamp(id * 1000000000) AS posted_at FROM r_posts) SELECT t.*, (SELECT count(*) FROM p WHERE p.poster_lead_id = t.lead_id OR p.poster_company_id = t.company_id) AS posts_held, (SELECT max(posted_at) FROM p WHERE p.poster_lead_id = t.lead_id OR p.poster_company_id = t.company_id) AS last_post_at FROM t",
     "collective_members": f"WITH {_CM} SELECT * FROM cm",
-    "small_group_ties": f"WITH {_CM} SELECT cm.lead_id, cm.collective_id, cm.collective_name AS group_name, g.group_size FROM cm JOIN (SELECT collective_id, count(*) + 1 AS group_size FROM cm WHERE member_state = 'member' AND kind = 'group' GROUP BY collective_id HAVING count(*) + 1 < 60) g USING (collective_id) WHERE cm.member_state = 'member' AND cm.kind = 'group' AND cm.lead_id IS NOT NULL",
-    "match_states": "WITH m AS (SELECT 'a' AS a_kind, id AS a_value, 'b' AS b_kind, id % 50 AS b_value, CASE WHEN id % 9 = 0 THEN 'x' END AS rejected_at FROM r_leads WHERE id < 300), i AS (SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS kind, id AS value, id % 10 AS lead_id FROM r_leads) SELECT m.*, x.lead_id AS a_lead_id, y.lead_id AS b_lead_id, CASE WHEN rejected_at IS NOT NULL THEN 'rejected' WHEN x.lead_id = y.lead_id THEN 'proven' ELSE 'open' END AS state FROM m LEFT JOIN i x ON x.kind = a_kind AND x.value = a_value LEFT JOIN i y ON y.kind = b_kind AND y.value = b_value",
+    "small_group_ties": f"WITH {_CM} SELECT cm.lead_id, cm.operator_id, cm.collective_id, cm.collective_name AS group_name, g.group_size FROM cm JOIN (SELECT collective_id, count(*) + 1 AS group_size FROM cm WHERE member_state = 'member' AND kind = 'group' GROUP BY collective_id HAVING count(*) + 1 < 60) g USING (collective_id) WHERE cm.member_state = 'member' AND cm.kind = 'group' AND cm.lead_id IS NOT NULL",
+    "match_states": "WITH m AS (SELECT 'a' AS a_kind, id AS a_value, 'b' AS b_kind, id % 50 AS b_value, CASE WHEN id % 9 = 0 THEN 'x' END AS rejected_at FROM r_leads), i AS (SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS kind, id AS value, id % 10 AS lead_id FROM r_leads) SELECT m.*, x.lead_id AS a_lead_id, y.lead_id AS b_lead_id, CASE WHEN rejected_at IS NOT NULL THEN 'rejected' WHEN x.lead_id = y.lead_id THEN 'proven' ELSE 'open' END AS state FROM m LEFT JOIN i x ON x.kind = a_kind AND x.value = a_value LEFT JOIN i y ON y.kind = b_kind AND y.value = b_value",
     "hierarchy_root": "WITH RECURSIVE n AS (SELECT id, CASE WHEN id > 4 THEN parent_id WHEN id > 0 THEN 0 END AS up FROM r_collectives), t AS (SELECT id, id AS root FROM n WHERE up IS NULL UNION ALL SELECT n.id, t.root FROM n JOIN t ON n.up = t.id) SELECT id, root FROM t",
     "any_key_matches": "SELECT l.id AS lead_id, c.id AS company, CASE WHEN regexp_replace(lower(l.current_company_url), '/+$', '') = regexp_replace(lower(c.linkedin_url), '/+$', '') THEN 'url' ELSE 'number' END AS matched_by FROM r_leads l JOIN r_companies c ON regexp_replace(lower(l.current_company_url), '/+$', '') = regexp_replace(lower(c.linkedin_url), '/+$', '') OR regexp_extract(l.name, '(\\d+)', 1) = regexp_extract(c.name, '(\\d+)', 1)",
     "prefix_matches": "SELECT p.p_partkey AS id, t.p_type AS prefix, t.n_parts FROM part p JOIN (SELECT p_type, count(*) AS n_parts FROM part GROUP BY ALL) t ON starts_with(p.p_type || ' ' || p.p_brand, t.p_type)",
@@ -453,10 +433,10 @@ _SQL = {
     "departures": f"WITH l AS (SELECT collective_id, id AS member, CASE WHEN id % 2 = 0 THEN TIMESTAMP '1997-01-01 00:00:00' END AS left_at FROM r_memberships WHERE id % 3 <> 0), n AS (SELECT collective_id, id AS member FROM r_memberships WHERE id % 5 <> 0) SELECT coalesce(l.collective_id, n.collective_id) AS collective_id, coalesce(l.member, n.member) AS member, CASE WHEN n.member IS NOT NULL THEN NULL ELSE coalesce(l.left_at, TIMESTAMP '{AS_OF}') END AS left_at FROM l FULL JOIN n ON l.member = n.member AND l.collective_id = n.collective_id",
     "array_union_upsert": f"SELECT lead_id, {_ROLLUP.format('source_type')} AS kinds FROM r_lead_sources GROUP BY lead_id",
     "rules_classifier": "SELECT id, CASE WHEN score < 0 AND contains(persona, 'BUILD') THEN false WHEN (contains(lower(persona), 'auto') OR contains(lower(persona), 'furni')) AND score >= 1000 THEN true WHEN country IN (1, 2, 3) OR coalesce(name, '') = '' THEN true ELSE false END AS qualified, CASE WHEN score < 0 AND contains(persona, 'BUILD') THEN 'in debt' WHEN (contains(lower(persona), 'auto') OR contains(lower(persona), 'furni')) AND score >= 1000 THEN 'seg ' || lower(persona) WHEN country IN (1, 2, 3) OR coalesce(name, '') = '' THEN 'near' ELSE 'no rule matched' END AS reason FROM r_leads",
-    "sql_classifier": "SELECT l.id AS lead_id, count(q.id) > 5 AS qualified, count(q.id) AS n FROM r_leads l LEFT JOIN r_lead_qualifications q ON q.lead_id = l.id AND q.qualified WHERE l.id % 2 = 0 GROUP BY l.id",
+    "sql_classifier": "SELECT l.id AS lead_id, count(q.id) > 5 AS qualified, count(q.id) AS n FROM r_leads l LEFT JOIN r_lead_qualifications q ON q.lead_id = l.id AND q.qualified GROUP BY l.id",
     "unclassified_leads": "SELECT id AS lead_id, name FROM r_leads l WHERE NOT EXISTS (SELECT 1 FROM r_lead_qualifications q WHERE q.lead_id = l.id AND qualifier_name = '1-URGENT' AND qualifier_version = 'v1')",
     "constraint_violations": """SELECT 'unique line' AS rule, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS n_broken
-        UNION ALL SELECT 'order of a known lead', (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM r_leads l WHERE l.id = o_custkey AND l.id % 3 <> 0))
+        UNION ALL SELECT 'order of a known lead', (SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM r_leads l WHERE l.id = o_custkey AND l.score >= 0))
         UNION ALL SELECT 'known status', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))
         UNION ALL SELECT 'priced', (SELECT count(*) FROM lineitem WHERE l_quantity - 3 <= 0)
         UNION ALL SELECT 'returned is finished', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus <> 'F')
