@@ -27,9 +27,12 @@ def build_session(master: str | None = None, app: str = "tallyloom", **conf: obj
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a temporary one only where it is unset (tests, local mode)."""
+    """The folder all executors share: `spark.checkpoint.dir`. Where it is unset, one is made for a local session only; a cluster has to name its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -1,8 +1,9 @@
 """Snapshots of tables, saved reports, and the export of whole tables.
 
-A table is a folder of snapshots and a pointer file with the name of the current one. A write makes
-a new snapshot and then turns the pointer, so that a failed run leaves the old state and a running
-reader keeps its files.
+A table is a folder of snapshots and numbered pointer files, each naming the snapshots of one state;
+the highest number is the current state. A write makes a snapshot and then puts the next pointer in
+place by one rename, so that a run that fails at any point leaves the old state, and a running reader
+keeps its files. An append writes the new rows only.
 """
 
 from __future__ import annotations
@@ -24,35 +25,56 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{table}/CURRENT")
-        return self.spark.read.text(f"{self.root}/{table}/CURRENT").first()[0] if fs.exists(p) else None
+    def _pointers(self, table: str) -> list[str]:
+        """Names of the table's pointer files, oldest first."""
+        fs, p = self._fs(f"{self.root}/{table}")
+        return sorted(n for f in fs.listStatus(p) if (n := f.getPath().getName()).startswith("state-")) if fs.exists(p) else []
+
+    def _snapshots(self, table: str) -> list[str] | None:
+        """The current state's snapshots; None for no table."""
+        at = self._pointers(table)
+        return [r[0] for r in self.spark.read.text(f"{self.root}/{table}/{at[-1]}").collect()] if at else None
+
+    def _turn(self, table: str, snapshots: list[str], keep: int = 2) -> None:
+        old = self._pointers(table)
+        number = int(old[-1].split("-")[1]) + 1 if old else 0
+        name = f"state-{number:012d}-{snapshots[-1]}"
+        fs, draft = self._fs(f"{self.root}/{table}/.draft-{snapshots[-1]}")
+        out = fs.create(draft, True)
+        out.write("\n".join(snapshots).encode())
+        out.close()
+        if not fs.rename(draft, self._fs(f"{self.root}/{table}/{name}")[1]):
+            raise OSError(f"{table}: the new state could not be put in place")
+        for n in old[:-keep]:
+            fs.delete(self._fs(f"{self.root}/{table}/{n}")[1], False)
+
+    def _snapshot(self, table: str, df: DataFrame) -> tuple[str, int]:
+        name, seen = f"v-{uuid.uuid4().hex}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.root}/{table}/{name}")
+        return name, seen.get["n"]
 
     def tables(self) -> list[str]:
         fs, p = self._fs(self.root)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
     def read(self, table: str) -> DataFrame:
-        at = self._pointer(table)
+        at = self._snapshots(table)
         if at is None:
             raise KeyError(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/{at}")
+        parts = [self.spark.read.parquet(f"{self.root}/{table}/{n}") for n in at]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def write(self, table: str, df: DataFrame) -> int:
         """Make `df` the table's current state; the number of its rows, counted while it is written."""
-        name, seen = f"v-{uuid.uuid4().hex}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.root}/{table}/{name}")
-        fs, new = self._fs(f"{self.root}/{table}/CURRENT.{name}")
-        out = fs.create(new, True)
-        out.write(name.encode())
-        out.close()
-        _, cur = self._fs(f"{self.root}/{table}/CURRENT")
-        fs.delete(cur, False)
-        fs.rename(new, cur)
-        return seen.get["n"]
+        name, n = self._snapshot(table, df)
+        self._turn(table, [name])
+        return n
 
     def append(self, table: str, df: DataFrame) -> int:
-        return self.write(table, df if self._pointer(table) is None else self.read(table).unionByName(df, allowMissingColumns=True))
+        """Add rows to the table, of which only they are written; the number of the table's rows."""
+        name, _ = self._snapshot(table, df)
+        self._turn(table, [*(self._snapshots(table) or []), name])
+        return self.read(table).count()
 
 
 def run_report(spark: SparkSession, store: Store, name: str, ran_by: str, at: str, output: str | None = None) -> DataFrame:
