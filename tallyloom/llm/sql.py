@@ -19,7 +19,43 @@ WITH RECURSIVE e AS (
 ), g AS (SELECT n AS lead_id, min(m) AS group_id FROM r GROUP BY n)
 """
 
+_MESSAGES = rf"""
+c AS (
+  SELECT conversation_id, coalesce(provider_message_id, 'row:' || id) AS mid, fetched_at, id,
+         CASE WHEN lower(regexp_replace(direction, '^\s+|\s+$', '', 'g')) IN ({_list(OUTBOUND)}) THEN 'operator'
+              WHEN lower(regexp_replace(direction, '^\s+|\s+$', '', 'g')) IN ({_list(INBOUND)}) THEN 'lead' END AS role,
+         CASE WHEN year(sent_at) > 1970 THEN sent_at END AS sent,
+         CASE WHEN regexp_matches(body, '[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}]') THEN body END AS body
+  FROM lead_messages WHERE conversation_id IS NOT NULL
+), m AS (
+  SELECT conversation_id, mid,
+         (list(role ORDER BY fetched_at, id) FILTER (role IS NOT NULL))[1] AS role,
+         (list(sent ORDER BY fetched_at, id) FILTER (sent IS NOT NULL))[1] AS sent,
+         (list(body ORDER BY fetched_at, id) FILTER (body IS NOT NULL))[1] AS body
+  FROM c GROUP BY ALL
+), o AS (
+  SELECT *, lag(sent) OVER w AS prev, row_number() OVER w AS n, (epoch_us(sent) - epoch_us(lag(sent) OVER w)) / 1e6 AS gap
+  FROM m WHERE body IS NOT NULL WINDOW w AS (PARTITION BY conversation_id ORDER BY sent IS NOT NULL, sent, mid)
+), h AS (
+  SELECT CAST(floor(log2(gap) * 2) AS BIGINT) AS b, count(*) AS n FROM o WHERE gap > 0 GROUP BY 1
+), s AS (
+  SELECT b, sum(n) OVER (ORDER BY b) AS w, sum(b * n) OVER (ORDER BY b) AS m, sum(n) OVER () AS total, sum(b * n) OVER () AS mass FROM h
+), l AS (
+  SELECT coalesce((SELECT greatest(3600, pow(2, (b + 1) / 2.0)) FROM s WHERE w < total ORDER BY pow(mass * w / CAST(total AS DOUBLE) - m, 2) / (w * CAST(total - w AS DOUBLE)) DESC, b LIMIT 1), 'infinity'::DOUBLE) AS most
+), t AS (
+  SELECT *, last_value(CASE WHEN o.n = 1 OR prev IS NULL OR gap > most THEN sent END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY sent IS NOT NULL, sent, mid ROWS UNBOUNDED PRECEDING) AS session_at
+  FROM o CROSS JOIN l
+), z AS (
+  SELECT conversation_id, session_at, count(*) AS n_messages, count(*) FILTER (role = 'operator') AS by_operator, count(*) FILTER (role = 'lead') AS by_lead, count(*) FILTER (role IS NULL) AS n_no_role,
+         max(sent) AS last_at, (list(role ORDER BY sent DESC NULLS LAST, mid DESC))[1] AS last_role
+  FROM t GROUP BY ALL
+)"""
+
 SQL = {
+    "p5_sessions": f"WITH {_MESSAGES} SELECT *, session_at IS NOT NULL AND n_no_role = 0 AND by_operator > 0 AND by_lead > 0 AS reciprocal FROM z",
+    "p5_conversations": f"""WITH {_MESSAGES}, k AS (
+  SELECT conversation_id FROM z GROUP BY 1 HAVING sum(n_no_role) = 0 AND bool_and(session_at IS NOT NULL) AND sum(by_operator) > 0 AND sum(by_lead) > 0 AND arg_max(last_role, session_at) <> 'lead')
+SELECT conversation_id, session_at, sent AS at, mid AS message_id, role, body FROM t WHERE conversation_id IN (SELECT conversation_id FROM k)""",
     "p3_found": _GROUPS + "SELECT lead_id, group_id FROM g",
     "p3_group_sizes": _GROUPS + "SELECT group_id, count(*) AS n_leads FROM g GROUP BY group_id",
     "p4_found": rf"""
