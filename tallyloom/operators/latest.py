@@ -36,9 +36,14 @@ def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias(value), F.max("__n").alias("n"))
 
 
-def split_top(df: DataFrame, keys: list[str], order: list[Column], cap: int, flag: str = "is_top") -> DataFrame:
-    """Rows with a flag: within the first `cap` of their key, or in reserve."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn(flag, F.col("__rank") <= cap).drop("__rank")
+def split_top(df: DataFrame, keys: list[str], order: list[Column], cap: int, unique: list[str], flag: str = "is_top") -> DataFrame:
+    """Rows with a flag: within the first `cap` of their key, or in reserve; `unique` are columns that together name a row.
+
+    The first rows are picked where they are, `cap` of a key in each task, before any shuffle; the
+    others only meet them in an equi-join, so that a key with very many rows is no task of its own.
+    """
+    top = ranked_first(df, keys, order, cap).select(*unique, F.lit(True).alias("__top"))
+    return df.join(top, unique, "left").withColumn(flag, F.coalesce("__top", F.lit(False))).select(*df.columns, flag)
 
 
 def in_list_order(c: Column, values: list[str]) -> Column:

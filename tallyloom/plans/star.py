@@ -195,7 +195,7 @@ def first_by_order(r: Roles) -> DataFrame:
 
 
 def top_per_company(r: Roles) -> DataFrame:
-    return latest.split_top(r["leads"].select("id", "company_id", "score"), ["company_id"], [F.desc("score"), F.asc("id")], 3)
+    return latest.split_top(r["leads"].select("id", "company_id", "score"), ["company_id"], [F.desc("score"), F.asc("id")], 3, ["id"])
 
 
 def first_by_list_order(r: Roles) -> DataFrame:

@@ -370,3 +370,14 @@ def conflicts_backfilled(leads: DataFrame, identities: DataFrame) -> DataFrame:
     said = leads.where("merged_into is null").select(F.col("id").alias("lead_id"), F.explode(each).alias("e")).select("lead_id", "e.*").where("value is not null")
     own = identities.select("kind", "value", F.col("lead_id").alias("owner_lead_id"))
     return said.join(own, ["kind", "value"]).where("lead_id <> owner_lead_id").select("lead_id", "kind", "value", "owner_lead_id").distinct()
+
+
+def usage_costs(usage: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
+    """Usage (keys, calls, ...) with the latest price of its keys and what the calls cost by it; null where there is no price. `prices`: keys, price, seen_at, id."""
+    p = latest_by(prices.select(*keys, "price", "seen_at", "id"), keys, ["seen_at", "id"]).select(*keys, "price")
+    return usage.join(p, keys, "left").withColumn("est_cost", F.col("calls") * F.col("price"))
+
+
+def backfill_state(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """How far back a history was read: the oldest and newest time seen, complete once it was said to be."""
+    return W.upsert(old, new, [key], {"oldest": W.least, "newest": W.greatest, "complete": W.either})

@@ -160,6 +160,20 @@ def related_companies(r: Roles) -> DataFrame:
     return views.related_companies(r["companies"], rel, "competitor").select("id", "name", "linkedin_slug", "linkedin_url", "scope", "recorded_at")
 
 
+def usage_costs(r: Roles) -> DataFrame:
+    c = r["enrichment_calls"]
+    usage = c.groupBy("api").agg(F.count("*").alias("calls"), F.count_if("success").alias("successes"))
+    return upkeep.usage_costs(usage, c.where("success").select("api", F.col("cost").alias("price"), F.col("fetched_at").alias("seen_at"), "id"), ["api"]).withColumn("est_cost", F.round("est_cost", 2))
+
+
+def backfill_state(r: Roles) -> DataFrame:
+    """Events of small value as what was read before, the others as what came now."""
+    e = r.raw("events")
+    state = lambda df: df.groupBy("user_id").agg(F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.bool_or(F.col("event_type") == "purchase").alias("complete"))
+    early = F.col("value") < 50
+    return upkeep.backfill_state(state(e.where(early)), state(e.where(~early)), "user_id")
+
+
 def token_groups(r: Roles) -> DataFrame:
     """Leads under one member token or one e-mail address, directly or through others."""
     return shared_key_groups(r.raw("leads"), "id", ["linkedin_urn", "email"])
@@ -167,7 +181,7 @@ def token_groups(r: Roles) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     filtered_by_text, held_members_by_status, repaired_names, size_targets, refresh_list, member_index, member_ids_by_lead, post_touches, short_committees, curated_posters, event_report, guest_memberships, unknown_guest_words, join_requests, tag_memberships,
-    deal_company_links, reply_tags, findings_once, token_backfill, token_duplicates, conflicts_backfilled, rewritten_urls, related_companies, token_groups,
+    deal_company_links, reply_tags, findings_once, token_backfill, token_duplicates, conflicts_backfilled, rewritten_urls, related_companies, token_groups, usage_costs, backfill_state,
 )}
 
 _URL_KEY = "regexp_replace(lower({0}), '/+$', '')"
@@ -205,6 +219,8 @@ SQL = {k: with_roles(v) for k, v in {
     "token_duplicates": "WITH o AS (SELECT member_urn AS value, min(id) AS owner FROM leads WHERE member_urn IS NOT NULL GROUP BY 1), f AS (SELECT linkedin_urn AS value, min(id) AS first_id FROM leads WHERE member_urn IS NULL GROUP BY 1) SELECT l.id AS lead_id, coalesce(o.owner, f.first_id) AS owner_lead_id, l.linkedin_urn AS value FROM leads l JOIN f ON f.value = l.linkedin_urn LEFT JOIN o ON o.value = l.linkedin_urn WHERE l.member_urn IS NULL AND trim(l.linkedin_urn) <> '' AND l.id <> coalesce(o.owner, f.first_id)",
     "conflicts_backfilled": "SELECT DISTINCT l.id AS lead_id, 'linkedin_urn' AS kind, l.member_urn AS value, o.id AS owner_lead_id FROM leads l JOIN leads o ON o.member_urn = l.member_urn AND o.id <> l.id WHERE l.merged_into IS NULL",
     "rewritten_urls": f"SELECT l.id, l.linkedin_url AS old, p.url AS new FROM leads l JOIN ({DOMAIN_SQL['profile_urls']}) p ON p.id = l.id WHERE l.linkedin_url IS DISTINCT FROM p.url",
+    "usage_costs": "SELECT api, count(*) AS calls, count(*) FILTER (success) AS successes, (list(cost ORDER BY fetched_at DESC, id DESC) FILTER (success))[1] AS price, round(count(*) * (list(cost ORDER BY fetched_at DESC, id DESC) FILTER (success))[1], 2) AS est_cost FROM r_enrichment_calls GROUP BY api",
+    "backfill_state": "SELECT user_id, min(ts) AS oldest, max(ts) AS newest, bool_or(event_type = 'purchase') AS complete FROM events WHERE value IS NOT NULL GROUP BY user_id",
     "token_groups": """WITH RECURSIVE k AS (SELECT id, 'u' || linkedin_urn AS v FROM leads WHERE linkedin_urn <> '' UNION SELECT id, 'e' || email FROM leads WHERE email <> ''), e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.v = b.v),
         g AS (SELECT id, id AS m FROM leads UNION SELECT e.b, g.m FROM g JOIN e ON e.a = g.id) SELECT id, min(m) AS group_id FROM g GROUP BY id""",
     "related_companies": "SELECT id, name, linkedin_slug, linkedin_url, 'scope-' || country AS scope, country AS recorded_at FROM r_companies WHERE id % 3 = 0",

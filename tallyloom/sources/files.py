@@ -23,9 +23,9 @@ def pick_column(header: list[str], candidates: list[str]) -> str | None:
     return next((have[c.lower()] for c in candidates if c.lower() in have), None)
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """All columns as text, quoted line breaks read, undecodable bytes replaced."""
-    df = spark.read.option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
+def read_csv(spark: SparkSession, path: str, header: bool = True, line_breaks: bool = True) -> DataFrame:
+    """All columns as text, undecodable bytes replaced. With `line_breaks` those inside quotes are read, at the price of one task a file; large files without any are split if it is off."""
+    df = spark.read.option("header", header).option("multiLine", line_breaks).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
