@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,11 @@ class Compiler:
         self.records, self.local = records, {}
 
     def condition(self, text: str) -> Column:
-        return self.truth(self.value(self._parse(text)))
+        """The truth of an expression; a bare comprehension says nothing of what is asked of it, so `any`, `all` or `len` must be around it."""
+        n = self._parse(text)
+        if isinstance(n, (ast.ListComp, ast.SetComp, ast.GeneratorExp)):
+            raise RuleError("a bare comprehension is no condition")
+        return self.truth(self.value(n))
 
     def outcome(self, text: str) -> Column:
         return self.value(self._parse(text)).col
@@ -93,7 +98,13 @@ class Compiler:
     def _Subscript(self, n: ast.Subscript) -> Value:
         if isinstance(n.value, ast.Name) and n.value.id in self.records:
             return self._field(n.value, n.slice)
+        if isinstance(n.value, ast.Dict):
+            return self._looked_up(n.value, n.slice, None)
         v = self.value(n.value)
+        if isinstance(n.slice, ast.Slice):
+            return self._part(v, n.slice)
+        if v.items is not None and isinstance(n.slice, ast.Constant) and isinstance(n.slice.value, int) and -len(v.items) <= n.slice.value < len(v.items):
+            return v.items[n.slice.value]
         if isinstance(n.slice, ast.Constant) and isinstance(n.slice.value, int):
             i = n.slice.value
             if v.kind == "array":
@@ -101,6 +112,74 @@ class Compiler:
             return Value(F.substring(v.col, i + 1 if i >= 0 else i, 1), "string")
         raise RuleError("index")
 
+    def _part(self, v: Value, cut: ast.Slice) -> Value:
+        """A slice between written ends, of a text or a list."""
+
+        def end(x: ast.expr | None) -> int | None:
+            if x is None:
+                return None
+            try:
+                got = ast.literal_eval(x)
+            except ValueError as e:
+                raise RuleError("a slice needs written ends") from e
+            if not isinstance(got, int):
+                raise RuleError("a slice needs whole ends")
+            return got
+
+        a, b = end(cut.lower), end(cut.upper)
+        if cut.step is not None:
+            raise RuleError("a slice with a step")
+        if v.items is not None:
+            return Value(None, "list", v.items[a:b])
+        if v.kind not in ("string", "array"):
+            raise RuleError(f"slice of {v.kind}")
+        size = F.length(v.col) if v.kind == "string" else F.size(v.col)
+        at = lambda x: F.least(F.lit(x), size) if x >= 0 else F.greatest(size + x, F.lit(0))
+        first, last = at(a or 0), size if b is None else at(b)
+        n = F.greatest(last - first, F.lit(0))
+        return Value(v.col.substr(first + 1, n) if v.kind == "string" else F.slice(v.col, first + 1, n), v.kind)
+
+    def _looked_up(self, d: ast.Dict, key: ast.expr, default: Value | None) -> Value:
+        """What a written table has for a key: the last entry that is equal, else the default."""
+        k, vals = self.value(key), [self.value(x) for x in d.values]
+        kinds = {v.kind for v in [*vals, *([default] if default else [])]} - {"null"}
+        if any(x is None for x in d.keys) or len(kinds) > 1 or "list" in kinds:
+            raise RuleError("a table of values of one kind")
+        out = default.col if default else F.lit(None)
+        for x, v in zip(d.keys, vals):
+            out = F.when(k.col.eqNullSafe(self.value(x).col), v.col).otherwise(out)
+        return Value(out, kinds.pop() if kinds else "null")
+
+    def _Dict(self, n: ast.Dict) -> Value:
+        """A table by itself is the list of its keys."""
+        if any(x is None for x in n.keys):
+            raise RuleError("a table of values")
+        return Value(None, "list", [self.value(x) for x in n.keys])
+
+    def _comprehension(self, n: ast.ListComp | ast.GeneratorExp | ast.SetComp) -> Value:
+        """A list of elements: of an array as an array, of a written list without conditions as a list, with conditions as an array without nulls."""
+        g = n.generators[0]
+        over = self.value(g.iter)
+        if len(n.generators) == 1 and isinstance(g.target, ast.Name) and over.kind == "array":
+            kept = over.col
+            if g.ifs:
+                kept = F.filter(kept, lambda x: self._bound(g.target.id, Value(x, "string"), lambda: reduce(lambda a, b: a & b, [self.truth(self.value(c)) for c in g.ifs])))
+            return Value(F.transform(kept, lambda x: self._bound(g.target.id, Value(x, "string"), lambda: self.value(n.elt).col)), "array")
+        if not g.ifs:
+            return Value(None, "list", self._each(n))
+        ok = [v.col for v in self._each(ast.ListComp(elt=ast.Constant(True), generators=n.generators))]
+        vals = self._each(ast.ListComp(elt=n.elt, generators=[ast.comprehension(target=g.target, iter=g.iter, ifs=[], is_async=0)]))
+        return Value(F.array_compact(F.array(*[F.when(c, v.col) for c, v in zip(ok, vals)])), "array")
+
+    _ListComp = _GeneratorExp = _SetComp = _comprehension
+
+    def _bound(self, name: str, v: Value, then: Callable[[], Column]) -> Column:
+        before, self.local = self.local, self.local | {name: v}
+        try:
+            return then()
+        finally:
+            self.local = before
+
     def _List(self, n: ast.List | ast.Tuple | ast.Set) -> Value:
         return Value(None, "list", [self.value(x) for x in n.elts])
 
@@ -123,15 +202,15 @@ class Compiler:
         v = self.value(n.operand)
         if isinstance(n.op, ast.Not):
             return Value(~self.truth(v), "bool")
-        if isinstance(n.op, ast.USub) and v.kind == "number":
-            return Value(-v.col, "number")
+        if isinstance(n.op, (ast.USub, ast.UAdd)) and v.kind == "number":
+            return Value(-v.col if isinstance(n.op, ast.USub) else v.col, "number")
         raise RuleError("sign")
 
     def _BinOp(self, n: ast.BinOp) -> Value:
         a, b = self.value(n.left), self.value(n.right)
         if isinstance(n.op, ast.Add) and a.kind == b.kind == "string":
             return Value(F.concat(a.col, b.col), "string")
-        ops: dict[type, Callable[[Column, Column], Column]] = {ast.Add: lambda x, y: x + y, ast.Sub: lambda x, y: x - y, ast.Mult: lambda x, y: x * y, ast.Div: F.try_divide, ast.Mod: F.pmod}
+        ops: dict[type, Callable[[Column, Column], Column]] = {ast.Add: lambda x, y: x + y, ast.Sub: lambda x, y: x - y, ast.Mult: lambda x, y: x * y, ast.Div: F.try_divide, ast.Mod: lambda x, y: x - F.floor(F.try_divide(x, y)) * y, ast.FloorDiv: lambda x, y: F.floor(F.try_divide(x, y)), ast.Pow: F.pow}
         if type(n.op) not in ops or a.kind != "number" or b.kind != "number":
             raise RuleError(f"operator {type(n.op).__name__} on {a.kind} and {b.kind}")
         return Value(ops[type(n.op)](a.col, b.col), "number")
@@ -176,13 +255,32 @@ class Compiler:
         if not isinstance(n.func, ast.Name):
             raise RuleError("call")
         name = n.func.id
-        if name in ("any", "all") and len(n.args) == 1 and isinstance(n.args[0], (ast.GeneratorExp, ast.ListComp)):
+        if name in ("any", "all") and len(n.args) == 1 and isinstance(n.args[0], (ast.GeneratorExp, ast.ListComp, ast.SetComp)):
+            g = n.args[0].generators[0]
+            if len(n.args[0].generators) == 1 and isinstance(g.target, ast.Name) and self.value(g.iter).kind == "array":
+                wanted = [*g.ifs, n.args[0].elt] if name == "any" else [n.args[0].elt]
+                held = lambda x, cs: self._bound(g.target.id, Value(x, "string"), lambda: reduce(lambda a, b: a & b, [self.truth(self.value(c)) for c in cs], F.lit(True)))
+                over = self.value(g.iter).col
+                if name == "all" and g.ifs:
+                    over = F.filter(over, lambda x: held(x, g.ifs))
+                return Value(F.coalesce((F.exists if name == "any" else F.forall)(over, lambda x: held(x, wanted)), F.lit(name == "all")), "bool")
             cs = [self.truth(v) for v in self._each(n.args[0])]
             out = F.lit(name == "all")
             for c in cs:
                 out = (out & c) if name == "all" else (out | c)
             return Value(out, "bool")
+        if name == "isinstance" and len(n.args) == 2:
+            types = [t.id for t in (n.args[1].elts if isinstance(n.args[1], ast.Tuple) else [n.args[1]]) if isinstance(t, ast.Name)]
+            v = self.value(n.args[0])
+            known = {"string": ["str"], "number": ["int", "float"], "bool": ["bool", "int"], "array": ["list"], "list": ["list"]}.get(v.kind, [])
+            return Value((F.lit(True) if v.items is not None else v.col.isNotNull()) & F.lit(bool(set(known) & set(types))), "bool")
         args = [self.value(a) for a in n.args]
+        if name in ("list", "tuple", "set") and len(args) == 1 and args[0].kind in ("list", "array"):
+            return Value(F.array_distinct(args[0].col), "array") if name == "set" and args[0].kind == "array" else args[0]
+        if name in ("sum", "min", "max", "sorted", "reversed") and len(args) == 1 and args[0].kind in ("list", "array"):
+            return self._of_list(name, args[0])
+        if name == "round" and 1 <= len(args) <= 2:
+            return Value(F.bround(args[0].col, n.args[1].value if len(args) == 2 and isinstance(n.args[1], ast.Constant) else 0), "number")
         if name == "len" and len(args) == 1:
             v = args[0]
             return Value(F.lit(len(v.items)), "number") if v.items is not None else Value(F.coalesce(F.size(v.col) if v.kind == "array" else F.length(v.col), F.lit(0)), "number")
@@ -198,6 +296,19 @@ class Compiler:
             return Value((F.least if name == "min" else F.greatest)(*[a.col for a in args]), "number")
         raise RuleError(f"function {name}")
 
+    def _of_list(self, name: str, v: Value) -> Value:
+        if name == "reversed":
+            return Value(None, "list", v.items[::-1]) if v.items is not None else Value(F.reverse(v.col), "array")
+        if v.items is not None and len({x.kind for x in v.items} - {"null"}) > 1:
+            raise RuleError(f"{name} of values of several kinds")
+        col = v.col if v.items is None else F.array(*[x.col.cast("int") if x.kind == "bool" else x.col for x in v.items])
+        kind = "string" if v.items is None else v.items[0].kind if v.items else "number"
+        if name == "sum":
+            return Value(F.reduce(F.transform(col, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), "number")
+        if name == "sorted":
+            return Value(F.array_sort(col), "array")
+        return Value((F.array_min if name == "min" else F.array_max)(col), "number" if kind == "bool" else kind)
+
     def _each(self, n: ast.GeneratorExp | ast.ListComp) -> list[Value]:
         """The element for each value of a written list."""
         if len(n.generators) != 1 or not isinstance(n.generators[0].target, ast.Name):
@@ -218,6 +329,11 @@ class Compiler:
         return out
 
     def _method(self, f: ast.Attribute, args: list[ast.expr]) -> Value:
+        if f.attr in ("keys", "values", "items") and not args and isinstance(f.value, ast.Dict):
+            d = f.value
+            return Value(None, "list", [self.value(x) for x in (d.keys if f.attr == "keys" else d.values)]) if f.attr != "items" else Value(None, "list", [Value(None, "list", [self.value(k), self.value(x)]) for k, x in zip(d.keys, d.values)])
+        if f.attr == "get" and args and isinstance(f.value, ast.Dict):
+            return self._looked_up(f.value, args[0], self.value(args[1]) if len(args) > 1 else None)
         if f.attr == "get" and args:
             return self._field(f.value, args[0], self.value(args[1]) if len(args) > 1 else None)
         v, a = self.value(f.value), [self.value(x) for x in args]
@@ -236,10 +352,13 @@ class Compiler:
         if f.attr == "replace" and len(a) == 2:
             return Value(F.replace(c, a[0].col, a[1].col), "string")
         if f.attr == "find" and len(a) == 1:
-            return Value(F.locate(args[0].value, c) - 1 if isinstance(args[0], ast.Constant) else F.expr("-1"), "number")
+            return Value(F.position(a[0].col, c) - 1, "number")
+        if f.attr == "rfind" and len(a) == 1:
+            back = F.position(F.reverse(a[0].col), F.reverse(c))
+            return Value(F.when(a[0].col == "", F.length(c)).when(back > 0, F.length(c) - F.length(a[0].col) - back + 1).otherwise(-1), "number")
         if f.attr == "count" and len(a) == 1:
             return Value((F.length(c) - F.length(F.replace(c, a[0].col, F.lit("")))) / F.length(a[0].col), "number")
-        if f.attr == "split" and len(a) <= 1:
+        if f.attr in ("split", "rsplit") and len(a) <= 1:
             return Value(F.split(F.trim(c), r"\s+") if not a else F.split(c, r"\Q" + str(args[0].value) + r"\E"), "array")
         if f.attr in ("isdigit", "isalpha", "isspace") and not a:
             return Value(c.rlike({"isdigit": r"^\p{Nd}+$", "isalpha": r"^\p{L}+$", "isspace": r"^\s+$"}[f.attr]), "bool")
