@@ -47,3 +47,19 @@ def test_gap_is_calibrated_between_two_kinds(spark):
     df = spark.createDataFrame([(float(60 * (1 + i % 5)),) for i in range(100)] + [(float(86400 * (5 + i % 9)),) for i in range(40)] + [(None,), (0.0,)], "g double")
     assert 3600 <= C.calibrated_gap(df, "g") <= 86400 * 5
     assert C.calibrated_gap(df.limit(0), "g") == float("inf")
+
+
+def test_kept_conversations_come_in_order(spark):
+    df = spark.createDataFrame(ROWS + ROWS[:4], SCHEMA)
+    for parts in (None, 7):
+        got = [(r["conversation_id"], r["role"], r["body"][:9]) for r in C.rebuilt(df, partitions=parts).collect()]
+        assert got == [("copies", "operator", "hi"), ("copies", "lead", "ok"), ("copies", "operator", "👍"), ("good", "operator", "hi"), ("good", "lead", "yes"), ("good", "operator", "fine"), ("no id", "operator", "hi"), ("no id", "lead", "hi"), ("no id", "operator", "x" * 9)]
+    assert C.rebuilt(df.limit(0)).count() == 0
+
+
+def test_the_last_session_decides_who_had_the_last_word(spark):
+    """However the sessions fall, the verdict on a conversation is that on all of its messages."""
+    rows = [m(i, c, f"{c}{i}", d, h, "x") for i, (c, d, h) in enumerate([("a", "out", 0), ("a", "in", 1), ("a", "out", 500), ("b", "out", 0), ("b", "in", 1), ("b", "out", 2), ("b", "in", 900), ("c", "in", 0), ("c", "out", 700)])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for gap in (60.0, 3600.0 * 5, None):
+        assert {tuple(r) for r in C.left_out(df, gap).collect()} == {("b", "unanswered")}
